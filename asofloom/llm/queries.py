@@ -2,7 +2,9 @@
 
 import os
 
-from . import langid, packing, sharding, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from . import decontam, langid, packing, quality, sharding, simhash, token_counts, toxicity
 
 TOKENIZERS = os.environ.get("ASOFLOOM_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,7 +28,8 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_packing(spark, sf_dir):
-    return packing.pack(read(spark, sf_dir, "documents"))
+    tokens = token_counts.token_counter(f"{TOKENIZERS}/{RANKS}")(F.col("text"))
+    return packing.pack(read(spark, sf_dir, "documents"), length=tokens)
 
 
 def op5_toxicity(spark, sf_dir):
@@ -34,5 +37,18 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(docs, toxicity.fit_on(docs, read(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit_on(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
-SQL = {"op2_sharding": sharding.shards_sql()}
+SQL = {"op2_sharding": sharding.shards_sql(), "op7_decontamination": decontam.contamination_sql()}
