@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, sharding, simhash, token_counts, toxicity
+from . import decontam, html_extract, langid, packing, quality, sharding, simhash, token_counts, topk, toxicity
 
 TOKENIZERS = os.environ.get("ASOFLOOM_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(docs, toxicity.fit_on(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -50,5 +54,9 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
-SQL = {"op2_sharding": sharding.shards_sql(), "op7_decontamination": decontam.contamination_sql()}
+SQL = {"op2_sharding": sharding.shards_sql(), "op6_top_k": topk.top_k_sql(), "op7_decontamination": decontam.contamination_sql()}
