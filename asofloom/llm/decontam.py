@@ -163,7 +163,7 @@ def decontaminate(df, benchmark, ngram=NGRAM, text_col="text", pass_bytes=PASS_B
 def contamination_sql(ngram=NGRAM):
     """For benchmarks whose items all have at least ``ngram`` words."""
     normal_sql = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
-    gram = f"unnest(list_transform(range(1, len(w) - {ngram - 2}), k -> array_to_string(w[k:k + {ngram - 1}], ' ')))"
+    gram = f"unnest(list_transform(range(1, len(w) - {ngram - 2}), lambda k: array_to_string(w[k:k + {ngram - 1}], ' ')))"
     return f"""
 with d as (select doc_id, {gram} as g from (select doc_id, string_split({normal_sql}, ' ') as w from documents)),
 b as (select distinct item_id, {gram} as g from (select item_id, string_split({normal_sql}, ' ') as w from benchmark))
