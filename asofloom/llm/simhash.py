@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .words import byte_slices, words, written
 
 BITS = 128
-RADIUS = 14
+RADIUS = 15
 BLOCKS = 3
 #: Runs of equal keys up to this length are compared pair by pair at once; longer ones are searched breadth first.
 SHORT_RUN = 12
@@ -97,7 +97,8 @@ def keyed(nodes, masks):
 
 
 def near(a, b, i, j, radius):
-    return np.bitwise_count(a[i] ^ a[j]).astype(np.int64) + np.bitwise_count(b[i] ^ b[j]) <= radius
+    # as unsigned: the count of a signed number is that of its absolute value
+    return np.bitwise_count((a[i] ^ a[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b[i] ^ b[j]).view(np.uint64)) <= radius
 
 
 def run_edges(node, a, b, radius):
