@@ -8,3 +8,15 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __version__ = "0.1.0"
+
+
+def __getattr__(name):
+    if name in ("Featurizer", "merge_groups", "tuned"):
+        from . import featurizer
+
+        return getattr(featurizer, name)
+    if name in ("register_aggregation", "register_transformer", "get_aggregations", "get_transformers"):
+        from .functions import aggregations, registry, transformations  # noqa: F401
+
+        return getattr(registry, name)
+    raise AttributeError(name)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..boundary import AS_OF, baseline, q, within
+from ..boundary import AS_OF, back, baseline, q, within
 from .registry import register_aggregation
 
 EARTH_M = 6_371_000.0
@@ -41,7 +41,8 @@ def days_between(a, b):
 def haversine(lat1, lon1, lat2, lon2):
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # not least(), which would make 1 of a missing point
+    return F.lit(2 * EARTH_M) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 class Child:
@@ -94,10 +95,20 @@ class Scope:
     @property
     def inside(self):
         """Whether a row is in the window; all rows were cut at the as-of date already."""
-        return self.at(self.ts) if self.interval and self.child.ts else F.lit(True)
+        return q(f"__in|{self.interval}") if self.interval and self.child.ts else F.lit(True)
 
     def at(self, ts):
-        return within(ts, self.interval, mode=self.child.mode)
+        """Whether another time is in the window, or known."""
+        cut = within(ts, None, mode=self.child.mode)
+        if not self.interval:
+            return cut
+        day, last = F.to_date(ts), F.to_date(q(AS_OF))
+        return cut & (day >= q(f"__from|{self.interval}")) & (day <= last if self.child.mode == "inclusive" else day < last)
+
+    @property
+    def older(self):
+        """Whether a row is in the window of the same length before the window."""
+        return q(f"__old|{self.interval}")
 
     def when(self, x, condition=None):
         cond = self.inside if condition is None else self.inside & condition
@@ -324,14 +335,16 @@ plain("variance_ratio", N, lambda s: ratio(F.var_samp(s.when(s.x)), _series(s, l
 def _cosinor(s):
     w = F.lit(2 * math.pi / 604_800) * (micros(s.ts) / F.lit(1e6))
     x = s.when(s.x)
-    return F.sqrt(F.pow(F.regr_slope(x, F.sin(w)), 2) + F.pow(F.regr_slope(x, F.cos(w)), 2))
+    # events that all fall on one phase of the week have no slope, whatever the rounding of sin and cos
+    slope = lambda y: F.when(F.var_pop(F.when(x.isNotNull(), y)) > 1e-9, F.regr_slope(x, y))
+    return F.sqrt(F.pow(slope(F.sin(w)), 2) + F.pow(slope(F.cos(w)), 2))
 
 
 plain("cosinor_amplitude_weekly", N, _cosinor, "amplitude of a weekly cycle", **T)
 
 
 def _wasserstein(s):
-    old = baseline(s.ts, s.interval)
+    old = s.older
     parts = [F.abs(F.percentile(s.when(s.x), F.lit(p)) - F.percentile(F.when(old, s.x), F.lit(p))) for p in (0.1, 0.5, 0.9)]
     return parts[0] + parts[1] + parts[2]
 
@@ -440,20 +453,21 @@ ZERO_IF_NONE = ("transition_matrix_summary",)
 
 
 def aggregate(rows, child, wanted):
-    """The aggregates of the causally cut rows: one row for each (as_of_date, key).
+    """The aggregates of the causally cut rows: one row for each (as_of_date, key), or each key where nothing has a time.
 
     rows: the child's rows joined with the as-of dates and cut, with the helper columns. wanted: (name, Aggregation, Scope) triples.
     """
-    keys = [q(AS_OF), q(child.key)]
+    keys = [*([q(AS_OF)] if AS_OF in rows.columns else []), q(child.key)]
     flat = [a(s).alias(n) for n, a, s in wanted if not a.counted]
     tables = {}
     for n, a, s in wanted:
         if a.counted:
-            tables.setdefault((a.counted, s.column), []).append((n, a, s))
+            # what counts as the state before the last depends on the window, so each has a groupBy of its own
+            tables.setdefault((a.counted, s.column, s.interval if a.counted == "triples" else None), []).append((n, a, s))
     base = rows.groupBy(*keys).agg(*flat) if flat or not tables else None
-    for (kind, column), own in tables.items():
+    for (kind, column, _), own in tables.items():
         part = _counted(rows, child, keys, kind, column, own)
-        base = part if base is None else base.join(part, [AS_OF, child.key], "full_outer" if not flat else "left")
+        base = part if base is None else base.join(part, [c for c in (AS_OF, child.key) if c in rows.columns], "full_outer" if not flat else "left")
     zero = [n for n, a, _ in wanted if a.name in ZERO_IF_NONE]
     return base.select(*(F.coalesce(q(c), F.lit(0)).alias(c) if c in zero else q(c) for c in base.columns))
 
@@ -473,8 +487,8 @@ def _counted(rows, child, keys, kind, column, own):
 
     counts = [F.count_if(inside(i)).alias(f"n{k}") for k, i in enumerate(spans)]
     if kind == "values":
-        counts += [F.count_if(baseline(q(child.ts), i)).alias(f"b{k}") for k, i in enumerate(spans) if i and child.ts]
-    fine = {"values": lambda: [q(column)], "pairs": lambda: [prev, q(column)], "triples": lambda: [child.lag(column, 2), prev, q(column)], "streaks": lambda: [q(column), _island(child, column)]}[kind]()
+        counts += [F.count_if(q(f"__old|{i}")).alias(f"b{k}") for k, i in enumerate(spans) if any(a.only_interval and s.interval == i for _, a, s in own)]
+    fine = {"values": lambda: [q(column)], "pairs": lambda: [prev, q(column)], "triples": lambda: [F.when(scope.previous(2)[1], child.lag(column, 2)), prev, q(column)], "streaks": lambda: [q(column), _island(child, column)]}[kind]()
     fine = [c.alias(f"__k{i}") for i, c in enumerate(fine)]
     g = rows.groupBy(*keys, *fine).agg(*counts)
     at = {i: k for k, i in enumerate(spans)}
@@ -497,6 +511,19 @@ def _island(child, column):
     return child.helper(f"island|{column}", build)
 
 
+def flagged(rows, child, wanted):
+    """Dated rows with, for each interval, the window's first day and whether a row is in it or in the window before: computed once a row."""
+    spans = list(dict.fromkeys(s.interval for _, _, s in wanted if s.interval))
+    if not spans or not child.ts:
+        return rows
+    rows = rows.select("*", *(F.to_date(back(q(AS_OF), i)).alias(f"__from|{i}") for i in spans))
+    day = F.to_date(q(child.ts))
+    last = F.to_date(q(AS_OF))
+    inside = {i: (day >= q(f"__from|{i}")) & (day <= last if child.mode == "inclusive" else day < last) for i in spans}
+    drifting = list(dict.fromkeys(s.interval for _, a, s in wanted if a.only_interval))
+    return rows.select("*", *(c.alias(f"__in|{i}") for i, c in inside.items()), *(baseline(q(child.ts), i).alias(f"__old|{i}") for i in drifting))
+
+
 def prepare(wanted, child):
     """Asks all aggregations for their helper columns; returns [Column]."""
     for _, a, s in wanted:
@@ -505,7 +532,7 @@ def prepare(wanted, child):
         elif a.counted != "values":
             s.previous()
             if a.counted == "triples":
-                child.lag(s.column, 2)
+                s.previous(2)
             if a.counted == "streaks":
                 _island(child, s.column)
     return [build().alias(name) for name, build in child.helpers.items()]
