@@ -127,7 +127,8 @@ class Planner:
             if r.name:
                 own = replace(own, name=capped(f"{r.name}.{f.name}"), label=f"{r.name}.{f.full}")
             columns.append((f.name, self._add(plan, own)))
-        plan.inputs.append(Direct(r, columns))
+        if columns:
+            plan.inputs.append(Direct(r, columns))
 
     def _aggregate(self, plan, r):
         child = self.plans[r.child]
@@ -143,7 +144,8 @@ class Planner:
                     full = f"{name.upper()}({alias}.{f.full}{tail}"
                     own = Feature(capped(f"{name.upper()}({alias}.{f.name}{tail}"), a.output_type(f), plan.entity.alias, full, "aggregation", (f.full,), alias, i, depth=f.depth + 1, definition=a.doc)
                     wanted.append((self._add(plan, own), a, f, i))
-        plan.inputs.append(Aggregate(r, wanted))
+        if wanted:
+            plan.inputs.append(Aggregate(r, wanted))
 
     def _passes(self, plan):
         e = plan.entity
