@@ -33,11 +33,14 @@ def features(c, entity, spec, columns):
     rows = rows.join(groups, [*at, "by"])
     wanted = {f for f, _, _ in columns}
     if "peer_pctile" in wanted:
+        for i in range(len(measures)):
+            rows = rows.withColumns({f"k{i}": F.when(member, F.col(f"m{i}")), f"o{i}": F.when(~member, F.col(f"m{i}"))})
+        base = rows
         for i in range(len(measures)):
             # members and the row itself are ranked among members: others get no value here and the number of smaller members below
-            rows = ranked(rows.withColumn(f"k{i}", F.when(member, F.col(f"m{i}"))), f"k{i}", at, f"r{i}", by=("by",)).drop(f"r{i}|n")
+            rows = ranked(rows, f"k{i}", at, f"r{i}", ("by",), base).drop(f"r{i}|n")
             if entity.temporal_ix:
-                rows = _rank_of_outsiders(rows, at, i)
+                rows = _rank_of_outsiders(rows, at, i, base)
     n = F.col("n") - F.col("in")
     out = []
     for f, detail, name in columns:
@@ -66,8 +69,8 @@ def _counts(c, r, at, name):
     return rows.groupBy(*at, "__node").agg(F.count("*").alias(name))
 
 
-def _rank_of_outsiders(rows, at, i):
+def _rank_of_outsiders(rows, at, i, base):
     """Rows that aren't known yet are compared with the members that are: they are ranked in all rows, less the unknown ones before them."""
-    both = ranked(rows, f"m{i}", at, f"all{i}", by=("by",)).drop(f"all{i}|n")
-    out = ranked(both.withColumn(f"o{i}", F.when(F.col("in") == 0, F.col(f"m{i}"))), f"o{i}", at, f"out{i}", by=("by",)).drop(f"out{i}|n", f"o{i}")
+    both = ranked(rows, f"m{i}", at, f"all{i}", ("by",), base).drop(f"all{i}|n")
+    out = ranked(both, f"o{i}", at, f"out{i}", ("by",), base).drop(f"out{i}|n")
     return out.withColumn(f"r{i}", F.when(F.col("in") == 1, F.col(f"r{i}")).otherwise(F.col(f"all{i}") - F.col(f"out{i}"))).drop(f"all{i}", f"out{i}")

@@ -14,16 +14,18 @@ def ordered_bucket(x):
     return F.when(x.isNull() | F.isnan(x), F.lit(1 << 40)).otherwise((F.signum(x) * magnitude).cast("long"))
 
 
-def ranked(df, column, scope, name, by=()):
+def ranked(df, column, scope, name, by=(), base=None):
     """Adds ``name``: how many rows of the same scope are smaller, and ``name|n``: how many rows it has.
 
     Values are bucketed by their leading bits; the rows before a bucket come from the buckets' counts, those in it from a window over one
-    bucket. So no task holds a whole population, unless it is nearly constant. Null and NaN come last.
+    bucket. So no task holds a whole population, unless it is nearly constant. Null and NaN come last. ``base`` has the same rows as ``df``
+    before other ranks were added: counting there keeps the plan of several ranks from doubling with each.
     """
     scope = [*scope, *by]
     parts = [q(c) for c in scope]
-    df = df.withColumn("__b", ordered_bucket(q(column).cast("double")))
-    counts = df.groupBy(*parts, "__b").agg(F.count("*").alias("__n"))
+    bucket = ordered_bucket(q(column).cast("double")).alias("__b")
+    counts = (df if base is None else base).groupBy(*parts, bucket).agg(F.count("*").alias("__n"))
+    df = df.withColumn("__b", bucket)
     over = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
     up = over.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*(c.alias(f"__s{i}") for i, c in enumerate(parts)), F.col("__b").alias("__bb"), F.coalesce(F.sum("__n").over(up), F.lit(0)).alias("__before"), F.sum("__n").over(over).alias("__all"))
@@ -36,17 +38,17 @@ def ranked(df, column, scope, name, by=()):
     return joined.withColumn(name, F.col("__before") + within - 1).withColumn(f"{name}|n", F.col("__all")).drop("__b", "__before", "__all")
 
 
-def population_rank(df, column, scope, name):
+def population_rank(df, column, scope, name, base=None):
     """Adds the relative rank, (smaller rows) / (rows - 1), 0 for a single row."""
-    df = ranked(df, column, scope, f"{name}|r")
+    df = ranked(df, column, scope, f"{name}|r", base=base)
     score = F.when(q(f"{name}|r|n") <= 1, F.lit(0.0)).otherwise(q(f"{name}|r") / (q(f"{name}|r|n") - 1))
     return df.withColumn(name, score).drop(f"{name}|r", f"{name}|r|n")
 
 
-def population_scores(df, column, scope, name):
+def population_scores(df, column, scope, name, base=None):
     """Adds (x - mean) / standard deviation; the moments of a scope are a broadcast row."""
     x = q(column).cast("double")
-    moments = df.groupBy(*map(q, scope)).agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__d"))
+    moments = (df if base is None else base).groupBy(*map(q, scope)).agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__d"))
     if scope:
         moments = moments.select(*(q(c).alias(f"__s{i}") for i, c in enumerate(scope)), "__m", "__d")
         on = F.lit(True)

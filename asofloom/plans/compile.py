@@ -108,10 +108,11 @@ class Compiler:
             df = self.dated(df, None if target else e.temporal_ix)
         rows = Rows(e.id, e.temporal_ix, AS_OF in df.columns, [v.name for v in sorted(e.variables.values(), key=lambda v: v.name) if v.name in df.columns])
         scope = [AS_OF] if AS_OF in df.columns else []
+        base = df
         for name, add in (("cross_entity_zscore", population_scores), ("cross_entity_percentile", population_rank)):
             for f, t, source, _ in plan.outputs:
                 if t is not None and t.name == name:
-                    df = add(df, source.name, scope, f"__{f.name}")
+                    df = add(df, source.name, scope, f"__{f.name}", base)
         columns = {c: q(c) for c in [*scope, *e.carried]}
         if not target:
             # all variables: they break ties of time wherever order matters, so pruning doesn't change a result
