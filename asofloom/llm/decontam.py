@@ -94,16 +94,22 @@ def patterns_of(items, ngram=NGRAM, min_words=MIN_WORDS):
 
 
 def passes(patterns, limit=PASS_BYTES):
-    """Parts of a pattern dictionary of at most ``limit`` bytes each."""
-    part, size = {}, 0
-    for p in sorted(patterns):
-        if part and size + len(p) > limit:
-            yield part
-            part, size = {}, 0
-        part[p] = patterns[p]
-        size += len(p)
+    """Parts of a pattern dictionary of at most ``limit`` bytes each, or of one item: an item is searched in one pass as a whole."""
+    of = defaultdict(list)
+    for p, items in patterns.items():
+        for item in items:
+            of[item].append(p)
+    part, size = defaultdict(list), 0
+    for item in sorted(of):
+        own = sum(map(len, of[item]))
+        if part and size + own > limit:
+            yield dict(part)
+            part, size = defaultdict(list), 0
+        for p in of[item]:
+            part[p].append(item)
+        size += own
     if part:
-        yield part
+        yield dict(part)
 
 
 def searcher(spark, patterns):
@@ -145,7 +151,7 @@ def contamination(df, benchmark, ngram=NGRAM, id_col="doc_id", text_col="text",
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), normal(F.col(text_col)).alias("t"))
     found = None
-    for part in passes(benchmark_patterns(benchmark, ngram=ngram), pass_bytes) or ():
+    for part in passes(benchmark_patterns(benchmark, ngram=ngram), pass_bytes):
         one = docs.select("doc_id", searcher(spark, part)(F.col("t")).alias("h")).select("doc_id", F.inline("h"))
         found = one if found is None else found.unionByName(one)
     if found is None:
