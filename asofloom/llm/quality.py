@@ -41,6 +41,9 @@ def mix(a, b):
 def features(texts):
     """(row of each feature, feature): the distinct hashed n-grams of each text, ordered by row."""
     codes, offsets, raw = raw_tokens(texts)
+    if "" in raw:  # what stands before leading and after trailing white space is no token
+        keep = codes != raw.index("")
+        codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     kinds = []
