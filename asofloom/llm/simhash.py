@@ -1,7 +1,7 @@
 """Operator 9: near duplicates by SimHash and covering locality-sensitive hashing.
 
 A document's signature has 128 bits: signs of the sums, over its distinct words, of random +-1 vectors weighted by the square root of the
-word's count. Two documents are near duplicates if their signatures differ in at most RADIUS bits; groups are the connected components.
+word's count. Weights are whole sixteenths, so sums are exact and a signature doesn't depend on the batch that a document is in. Two documents are near duplicates if their signatures differ in at most RADIUS bits; groups are the connected components.
 
 The search is exact for that radius. The bits are cut into blocks, whose radii r_i satisfy sum(r_i + 1) = RADIUS + 1, so of any pair
 within the radius at least one block differs in at most r_i bits. In a block each bit i has a random vector m(i) of r_i + 1 bits, and for
@@ -38,7 +38,7 @@ def signatures(texts):
         return there, out
     size = len(vocabulary)
     key, count = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * size + codes, return_counts=True)
-    doc, word, weight = key // size, key % size, np.sqrt(count).astype(np.float32)
+    doc, word, weight = key // size, key % size, np.round(16 * np.sqrt(count)).astype(np.float32)
     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint8).reshape(size, 16)
     signs = np.unpackbits(digest, axis=1).view(np.int8) * np.int8(2) - np.int8(1)
     signs = signs.astype(np.float32)
@@ -46,7 +46,9 @@ def signatures(texts):
     bits = np.zeros((n, BITS), bool)
     for i in np.flatnonzero(there):
         s, e = at[i], at[i + 1]
-        bits[i] = weight[s:e] @ signs[word[s:e]] > 0
+        # single precision is exact below 2 ** 24
+        exact = np.float32 if e - s < 1 << 16 and weight[s:e].sum(dtype=np.float64) < 1 << 24 else np.float64
+        bits[i] = weight[s:e].astype(exact, copy=False) @ signs[word[s:e]].astype(exact, copy=False) > 0
     packed = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
     out[there] = packed[there]
     return there, out
