@@ -11,10 +11,10 @@ __version__ = "0.1.0"
 
 
 def __getattr__(name):
-    if name in ("Featurizer", "merge_groups", "tuned"):
-        from . import featurizer
+    if name in ("Loom", "merge_groups", "tuned"):
+        from . import loom
 
-        return getattr(featurizer, name)
+        return getattr(loom, name)
     if name in ("register_aggregation", "register_transformer", "get_aggregations", "get_transformers"):
         from .functions import aggregations, registry, transformations  # noqa: F401
 

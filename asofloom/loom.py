@@ -17,7 +17,7 @@ from .sources.tables import Tables
 GROUP_COLUMNS = 500
 
 
-class Featurizer:
+class Loom:
     """Point-in-time features of a target entity.
 
     config: a path, YAML text or mapping. spark: a session. as_of: the as-of dates, as a list or a DataFrame with as_of_date; by default the
@@ -164,4 +164,4 @@ def tuned(builder, partitions=None):
     return builder.config(map=conf)
 
 
-__all__ = ["AS_OF", "Featurizer", "merge_groups", "tuned"]
+__all__ = ["AS_OF", "Loom", "merge_groups", "tuned"]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..boundary import q
-from .common import dates_sql, featurizer, r, read, tidy
+from .common import dates_sql, loom, r, read, tidy
 
 INTERVAL, SQL_INTERVAL, SQL_TWICE = "P1Y", "interval 1 year", "interval 2 year"
 LAT, LON = "40 + (o_orderkey * 37 % 1000) / 1000.0", "-87 + (o_orderkey * 91 % 1000) / 1000.0"
@@ -145,7 +145,7 @@ def config(names, intervals=(INTERVAL,)):
 
 def query(name):
     def run(spark, sf_dir):
-        f = featurizer(spark, sf_dir, config([name]), tables={"orders": orders(spark, sf_dir)})
+        f = loom(spark, sf_dir, config([name]), tables={"orders": orders(spark, sf_dir)})
         column = f"{name.upper()}(orders.{FEATURE[COLUMN[name]]}"
         wanted = {f"{column})": "value", f"{column}|interval={INTERVAL})": "value_1y"}
         wanted = {c: n for c, n in wanted.items() if c in f.features}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..boundary import q
-from ..featurizer import Featurizer
+from ..loom import Loom
 
 DATES = ["1997-01-01", "1999-01-01", "2001-01-01"]
 DIGITS = 6
@@ -27,8 +27,8 @@ def tidy(df, digits=DIGITS):
     return df.select(*out)
 
 
-def featurizer(spark, sf_dir, config, dates=DATES, tables=None):
-    return Featurizer({"intervals": [], "relationships": []} | config, spark, dates, tables, sf_dir)
+def loom(spark, sf_dir, config, dates=DATES, tables=None):
+    return Loom({"intervals": [], "relationships": []} | config, spark, dates, tables, sf_dir)
 
 
 def r(expression, digits=DIGITS):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..boundary import q
 from ..output import imputation, manifest
 from .aggregations import config as orders_config
-from .common import DATES, dates_sql, featurizer, r, read, tidy
+from .common import DATES, dates_sql, loom, r, read, tidy
 
 QUERIES, SQL = {}, {}
 
@@ -56,7 +56,7 @@ select a.as_of_date, c_custkey, {', '.join(names)} from a cross join customer le
 @add("spine_customer_orders", _flagship_sql())
 def spine_customer_orders(spark, sf_dir):
     config = {"target": "customer", "max_depth": 2, "intervals": ["P6M", "P1Y"], "aggregations": ["count", "sum", "mean", "min", "max", "stddev", "median", "recency"], "transformations": ["identity"], "entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS], "relationships": [relation("customer", "c_custkey", "orders", "o_custkey")]}
-    return renamed(featurizer(spark, sf_dir, config).to_spark(list(_FLAGSHIP)), _FLAGSHIP, doubles=[n for n in _FLAGSHIP.values() if n.startswith(("orders", "recency"))])
+    return renamed(loom(spark, sf_dir, config).to_spark(list(_FLAGSHIP)), _FLAGSHIP, doubles=[n for n in _FLAGSHIP.values() if n.startswith(("orders", "recency"))])
 
 
 @add(
@@ -66,7 +66,7 @@ select a.as_of_date, c_custkey, n::double as orders, n6::double as orders_6m fro
 )
 def spine_exclusive_boundary(spark, sf_dir):
     config = {"target": "customer", "max_depth": 2, "intervals": ["P6M"], "as_of_boundary": "exclusive", "aggregations": ["count"], "transformations": ["identity"], "entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS], "relationships": [relation("customer", "c_custkey", "orders", "o_custkey")]}
-    return renamed(featurizer(spark, sf_dir, config).to_spark(["COUNT(orders.o_orderkey*"]), {"COUNT(orders.o_orderkey)": "orders", "COUNT(orders.o_orderkey|interval=P6M)": "orders_6m"}, doubles=("orders", "orders_6m"))
+    return renamed(loom(spark, sf_dir, config).to_spark(["COUNT(orders.o_orderkey*"]), {"COUNT(orders.o_orderkey)": "orders", "COUNT(orders.o_orderkey|interval=P6M)": "orders_6m"}, doubles=("orders", "orders_6m"))
 
 
 @add(
@@ -79,7 +79,7 @@ def spine_depth_3(spark, sf_dir):
     lines = {"alias": "lines", "table": "lineitem", "temporal_ix": "l_shipdate", "variables": {"l_quantity": "numeric"}}
     config = {"target": "customer", "max_depth": 3, "aggregations": ["sum", "mean", "max", "count"], "transformations": ["identity"], "entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS, lines], "relationships": [relation("customer", "c_custkey", "orders", "o_custkey"), relation("orders", "o_orderkey", "lines", "l_orderkey")]}
     names = {"SUM(orders.SUM(lines.l_quantity))": "sum_qty", "MEAN(orders.SUM(lines.l_quantity))": "mean_qty", "MAX(orders.COUNT(lines.l_shipdate))": "max_lines"}
-    df = featurizer(spark, sf_dir, config).to_spark(list(names))
+    df = loom(spark, sf_dir, config).to_spark(list(names))
     return tidy(df.select("as_of_date", "c_custkey", *(q(a).cast("double").alias(b) for a, b in names.items())))
 
 
@@ -87,7 +87,7 @@ def spine_depth_3(spark, sf_dir):
 def join_direct(spark, sf_dir):
     entities = [CUSTOMER, {"alias": "nation", "table": "nation", "id": "n_nationkey", "variables": {"n_name": "categorical"}}, {"alias": "region", "table": "region", "id": "r_regionkey", "variables": {"r_name": "categorical"}}]
     config = {"target": "customer", "max_depth": 4, "aggregations": ["count"], "transformations": ["identity"], "entities": entities, "relationships": [relation("nation", "n_nationkey", "customer", "c_nationkey"), relation("region", "r_regionkey", "nation", "n_regionkey")]}
-    return renamed(featurizer(spark, sf_dir, config, DATES[:1]).to_spark(["n_name", "r_name", "c_acctbal"]), {"n_name": "n_name", "r_name": "r_name", "c_acctbal": "c_acctbal"})
+    return renamed(loom(spark, sf_dir, config, DATES[:1]).to_spark(["n_name", "r_name", "c_acctbal"]), {"n_name": "n_name", "r_name": "r_name", "c_acctbal": "c_acctbal"})
 
 
 _TRADES = "select o_orderkey, o_custkey as buyer, (o_custkey * 7 + 3) % (select count(*) from customer) as seller, o_orderdate, o_totalprice from orders"
@@ -104,7 +104,7 @@ def join_named_parallel(spark, sf_dir):
     entities = [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS | {"alias": "trades", "table": "trades"}]
     config = {"target": "customer", "max_depth": 2, "aggregations": ["sum", "count"], "transformations": ["identity"], "entities": entities, "relationships": [relation("customer", "c_custkey", "trades", "buyer", name="bought"), relation("customer", "c_custkey", "trades", "seller", name="sold")]}
     names = {"SUM(bought.o_totalprice)": "bought", "COUNT(bought.o_orderkey)": "buys", "SUM(sold.o_totalprice)": "sold", "COUNT(sold.o_orderkey)": "sales"}
-    return renamed(featurizer(spark, sf_dir, config, DATES[:1], {"trades": trades}).to_spark(list(names)), names, doubles=("buys", "sales"))
+    return renamed(loom(spark, sf_dir, config, DATES[:1], {"trades": trades}).to_spark(list(names)), names, doubles=("buys", "sales"))
 
 
 @add(
@@ -123,7 +123,7 @@ def join_diamond(spark, sf_dir):
     ]
     relations = [relation("supplier", "s_suppkey", "lines", "l_suppkey"), relation("orders", "o_orderkey", "lines", "l_orderkey"), relation("customer", "c_custkey", "orders", "o_custkey"), relation("nation", "n_nationkey", "supplier", "s_nationkey", name="sn"), relation("nation", "n_nationkey", "customer", "c_nationkey", name="cn")]
     config = {"target": "lines", "max_depth": 4, "aggregations": [], "transformations": ["identity"], "entities": entities, "relationships": relations}
-    f = featurizer(spark, sf_dir, config, DATES[:1])
+    f = loom(spark, sf_dir, config, DATES[:1])
     keys = spark_keys(f, ["l_orderkey", "l_partkey"])
     return tidy(keys.select("as_of_date", "l_orderkey", "l_partkey", *(q(a).alias(b) for a, b in {"l_quantity": "l_quantity", "s_acctbal": "s_acctbal", "c_acctbal": "c_acctbal", "sn.n_name": "supplier_nation", "cn.n_name": "customer_nation"}.items())))
 
@@ -155,7 +155,7 @@ def _as_of(grace):
         events = read(spark, sf_dir, "events")
         views = events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("viewer"), F.col("ts").alias("view_ts"), F.col("value").alias("viewed"), "props")
         tables = {"buys": events.where("event_type = 'purchase'"), "views": views}
-        df = featurizer(spark, sf_dir, config, ["2024-01-31"], tables).to_spark()
+        df = loom(spark, sf_dir, config, ["2024-01-31"], tables).to_spark()
         return renamed(df, {"value": "value", "last.viewed": "viewed", "last.props": "props"}, ("event_id",))
 
     return run
@@ -175,7 +175,7 @@ SQL |= {"join_asof": _as_of_sql(None), "join_asof_grace": _as_of_sql("1 day")}
 def one_hot(spark, sf_dir):
     entity = CUSTOMER | {"variables": {"c_mktsegment": {"type": "categorical", "role": "categorical", "vocabulary": ["MACHINERY", "BUILDING", "OTHER"]}, "c_name": {"type": "text", "role": "identifier"}}}
     config = {"target": "customer", "max_depth": 1, "transformations": ["identity"], "entities": [entity]}
-    f = featurizer(spark, sf_dir, config, DATES[:1])
+    f = loom(spark, sf_dir, config, DATES[:1])
     return renamed(f.to_spark(), {f"customer.c_mktsegment={v}": v.lower() for v in ("BUILDING", "MACHINERY", "OTHER")})
 
 
@@ -204,7 +204,7 @@ def _graph(family):
         edges = read(spark, sf_dir, "orders").selectExpr("o_custkey as s", "(o_orderkey * 7919 + 13) % 1500 as t", "o_orderdate as ts", "o_totalprice as w")
         edge = {"alias": "links", "table": "links", "edge": {"node": "customer", "source": "s", "target": "t", "weight": "w", "timestamp": "ts", "features": [family]}}
         config = {"target": "customer", "max_depth": 1, "transformations": ["identity"], "entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, edge]}
-        df = featurizer(spark, sf_dir, config, _GRAPH_DATES, {"links": edges}).to_spark()
+        df = loom(spark, sf_dir, config, _GRAPH_DATES, {"links": edges}).to_spark()
         return renamed(df, {f"{m}(customer.links)": m.lower() for m in metrics}, doubles=[m.lower() for m in metrics])
 
     return run
@@ -227,7 +227,7 @@ def _peers(timed):
         entity = {"alias": "m", "table": "members", "id": "c_custkey", "variables": {"c_acctbal": "numeric", "c_mktsegment": "categorical"}, "peer_groups": [{"by": "c_mktsegment"}]} | ({"temporal_ix": "joined"} if timed else {})
         config = {"target": "m", "max_depth": 1, "transformations": ["identity"], "entities": [entity, ORDERS], "relationships": [relation("m", "c_custkey", "orders", "o_custkey")]}
         names = {k.format("m"): v for k, v in _PEERS.items()}
-        return renamed(featurizer(spark, sf_dir, config, DATES[:2], {"members": members}).to_spark(list(names)), names)
+        return renamed(loom(spark, sf_dir, config, DATES[:2], {"members": members}).to_spark(list(names)), names)
 
     return run
 
@@ -279,7 +279,7 @@ def _near(left, right):
         if left == right:
             tables["here"], entities, spec["right"] = tables["there"], [entities[0] | {"temporal_ix": "since"}], "here"
         config = {"target": "here", "max_depth": 1, "transformations": ["identity"], "entities": entities, "spatial_relationships": [spec]}
-        df = featurizer(spark, sf_dir, config, DATES[:2], tables).to_spark()
+        df = loom(spark, sf_dir, config, DATES[:2], tables).to_spark()
         df = df.withColumn("DISTANCE_TO_NEAREST(near)", F.round(q("DISTANCE_TO_NEAREST(near)"), 3))
         return renamed(df, {"COLOCATION_COUNT(near)": "n", "DISTANCE_TO_NEAREST(near)": "nearest", "KDE_INTENSITY(near)": "kde"}, ("as_of_date", left[1]))
 
@@ -301,7 +301,7 @@ def _neighbours(directed):
         spec = {"name": "linked", "left": "c", "directed": directed, "edges": {"table": "links", "source": "s", "target": "t", "timestamp": "ts"}}
         config = {"target": "c", "max_depth": 1, "intervals": ["P1Y"], "transformations": ["identity"], "entities": [entity], "graph_relationships": [spec]}
         names = {"DEGREE(linked)": "degree", "DEGREE(linked|interval=P1Y)": "degree_1y", "NEIGHBOUR_MEAN(linked.c_acctbal)": "mean_acctbal", "NEIGHBOUR_SHARE(linked.rich)": "share_rich"}
-        return renamed(featurizer(spark, sf_dir, config, _GRAPH_DATES, {"links": edges, "states": states}).to_spark(list(names)), names, doubles=("degree", "degree_1y"))
+        return renamed(loom(spark, sf_dir, config, _GRAPH_DATES, {"links": edges, "states": states}).to_spark(list(names)), names, doubles=("degree", "degree_1y"))
 
     return run
 
@@ -328,7 +328,7 @@ select as_of_date, c_custkey, coalesce(n, 0) as orders, {r('s')} as stddev, (n i
 )
 def impute(spark, sf_dir):
     config = orders_config(["count", "stddev"], ()) | {"entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS]}
-    f = featurizer(spark, sf_dir, config, DATES[:1])
+    f = loom(spark, sf_dir, config, DATES[:1])
     df = f.to_spark(["COUNT(orders.o_orderkey)", "STDDEV(orders.o_totalprice)"])
     df = imputation.impute(df, f.keys)
     return renamed(df, {"COUNT(orders.o_orderkey)": "orders", "STDDEV(orders.o_totalprice)": "stddev", "COUNT(orders.o_orderkey)__missing": "orders_missing", "STDDEV(orders.o_totalprice)__missing": "stddev_missing"})
@@ -337,7 +337,7 @@ def impute(spark, sf_dir):
 @add("manifest", "select * from (values ('COUNT(orders.o_orderkey)', 'derived', 1, null), ('COUNT(orders.o_orderdate)', 'derived', 1, null), ('SUM(orders.o_totalprice)', 'derived', 1, null), ('SUM(orders.o_totalprice|interval=P6M)', 'derived', 1, 'P6M'), ('COUNT(orders.o_orderkey|interval=P6M)', 'derived', 1, 'P6M'), ('COUNT(orders.o_orderdate|interval=P6M)', 'derived', 1, 'P6M')) t(label, kind, depth, \"interval\")")
 def manifest_table(spark, sf_dir):
     config = orders_config(["count", "sum"], ("P6M",)) | {"entities": [{"alias": "customer", "table": "customer", "id": "c_custkey"}, ORDERS]}
-    return manifest.to_spark(spark, featurizer(spark, sf_dir, config).manifest).select("label", "kind", F.col("depth").cast("int").alias("depth"), "interval")
+    return manifest.to_spark(spark, loom(spark, sf_dir, config).manifest).select("label", "kind", F.col("depth").cast("int").alias("depth"), "interval")
 
 
 def all_aggregations(spark, sf_dir):
@@ -345,4 +345,4 @@ def all_aggregations(spark, sf_dir):
     from ..functions.registry import AGGREGATIONS
     from .aggregations import orders
 
-    return featurizer(spark, sf_dir, orders_config(AGGREGATIONS.names()), tables={"orders": orders(spark, sf_dir)}).to_spark()
+    return loom(spark, sf_dir, orders_config(AGGREGATIONS.names()), tables={"orders": orders(spark, sf_dir)}).to_spark()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..boundary import q
 from ..functions.transformations import BINARY, Rows, binary, in_array
-from .common import featurizer, r, read, tidy
+from .common import loom, r, read, tidy
 
 DATE = ["2024-01-31"]
 W = "partition by user_id order by ts"
@@ -87,7 +87,7 @@ def panel(name):
             "entities": [{"alias": "events", "table": "events", "id": "user_id", "temporal_ix": "ts", "variables": {"value": "numeric", "event_type": "categorical", "event_id": "numeric"}}],
         }
         out = "value" if name == "identity" else f"{name.upper()}(events.{column})"
-        df = featurizer(spark, sf_dir, config, DATE).to_spark(["event_id", out])
+        df = loom(spark, sf_dir, config, DATE).to_spark(["event_id", out])
         value = q(out).cast("double") * SCALE.get(name, 1.0)
         return tidy(df.select(q("event_id").cast("bigint").alias("event_id"), value.alias("value")), DIGITS.get(name, 6))
 
@@ -123,7 +123,7 @@ SQL |= {f"xf_{n}": f"select doc_id, {r(e)} as value from documents" for n, e in
 def text(name):
     def run(spark, sf_dir):
         config = {"target": "documents", "max_depth": 1, "transformations": [name], "entities": [{"alias": "documents", "table": "documents", "id": "doc_id", "variables": {"text": "text"}}]}
-        df = featurizer(spark, sf_dir, config, DATE).to_spark([f"{name.upper()}(documents.text)"])
+        df = loom(spark, sf_dir, config, DATE).to_spark([f"{name.upper()}(documents.text)"])
         return tidy(df.select("doc_id", q(f"{name.upper()}(documents.text)").alias("value")))
 
     return run
@@ -166,7 +166,7 @@ def date(name):
         }
         tables = {"events": read(spark, sf_dir, "events").withColumn("moment", F.col("ts"))}
         wanted = {f"{name.upper()}{s}(events.moment)": f"value{s.lower()}" for s in (("_SIN", "_COS") if name in _CYCLES else ("",))}
-        df = featurizer(spark, sf_dir, config, DATE, tables).to_spark(["event_id", *wanted])
+        df = loom(spark, sf_dir, config, DATE, tables).to_spark(["event_id", *wanted])
         return tidy(df.select(q("event_id").cast("bigint").alias("event_id"), *(q(c).alias(n) for c, n in wanted.items())))
 
     return run

@@ -7,7 +7,7 @@ from the table and written under its date. Events that come later than that don'
 from pyspark.sql import functions as F
 
 from ..boundary import AS_OF, q
-from ..featurizer import Featurizer
+from ..loom import Loom
 
 
 def matrix_stream(stream, ts, dates, config, event_table, events_path, output_path, checkpoint, delay="interval 0 seconds", tables=None, folder=None):
@@ -27,7 +27,7 @@ def matrix_stream(stream, ts, dates, config, event_table, events_path, output_pa
             at = f"{output_path}/{AS_OF}={d}"
             if closed is None or str(closed)[:10] <= d or _written(spark, at):
                 continue
-            f = Featurizer(config, spark, [d], {event_table: seen.drop("batch")} | (tables or {}), folder)
+            f = Loom(config, spark, [d], {event_table: seen.drop("batch")} | (tables or {}), folder)
             f.to_spark().drop(AS_OF).write.mode("overwrite").parquet(at)
 
     return stream.where(q(ts).isNotNull()).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -88,14 +88,14 @@ def test_causal_guards(spark):
 
 
 def test_result_joins_a_configuration(spark):
-    from asofloom import Featurizer
+    from asofloom import Loom
 
     bridge = b.Sentiment("id", "text", "en")
     docs = spark.createDataFrame([(1, "a", "good good bad"), (2, "a", "bad"), (3, "b", None)], "id int, src string, text string")
     table = bridge.save(docs.join(bridge.run(docs), "id"), "sentiment_rows")
     part = bridge.config(table, "id", "src", "src", "src")
     c = {"target": "src", "max_depth": 2, "intervals": [], "aggregations": ["mean"], "transformations": ["identity"], "entities": [{"alias": "src", "table": "srcs", "id": "src"}, part["entity"]], "relationships": [part["relationship"]]}
-    got = values(Featurizer(c, spark, ["2024-01-01"], {"srcs": docs.select("src").distinct()}).to_spark(), "src")
+    got = values(Loom(c, spark, ["2024-01-01"], {"srcs": docs.select("src").distinct()}).to_spark(), "src")
     assert got["a"]["MEAN(sentiment.sentiment)"] == pytest.approx((1 / 3 - 1) / 2) and got["b"]["MEAN(sentiment.sentiment)"] is None
 
 

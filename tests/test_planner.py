@@ -1,6 +1,6 @@
 import pytest
 
-from asofloom import Featurizer
+from asofloom import Loom
 from asofloom.model import capped, interval_parts
 from asofloom.output import manifest
 from asofloom.plans.planner import Planner
@@ -75,7 +75,7 @@ def test_validation_finds_all():
         assert part in text
     assert problems({"target": "x"}).errors
     with pytest.raises(ValueError, match="invalid configuration"):
-        Featurizer(bad)
+        Loom(bad)
 
 
 def test_validation_warns():
@@ -88,7 +88,7 @@ def test_validation_warns():
 
 
 def test_manifest_and_globs():
-    f = Featurizer(config())
+    f = Loom(config())
     one = {e.column: e for e in f.manifest}["SUM(o.x|interval=P6M)"]
     assert (one.kind, one.interval, one.depth, one.source_alias, one.parents, one.truncated) == ("derived", "P6M", 1, "o", ("x",), False)
     assert f.columns_matching("SUM(*") == ["SUM(o.x)", "SUM(o.x|interval=P6M)"]
