@@ -1,6 +1,7 @@
 """Operator 5: a convolutional text classifier over hashed word embeddings, trained in numpy, with thresholds by language.
 
-A word's vector is the sum of two rows of a hashed table. Filters of several widths slide over the word vectors; each filter's largest
+A word's vector is the sum of rows of a hashed table: two for the word itself, one for each of its first 3 to 8 letters, so that unseen
+words of a known stem have a meaning. Filters of several widths slide over the word vectors; each filter's largest
 response over the text (max pooling, rectified) enters a logistic output. As a convolution is linear before the pooling, a distinct
 word's responses are computed once and gathered for its positions.
 """
@@ -18,6 +19,8 @@ from .words import byte_slices, labelled_sample, words
 #: Labelled documents of each (language, label) that the model is fitted and calibrated on, at most.
 FIT_DOCS = 600
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, RATE, DECAY = 1 << 18, 16, (1, 2, 3), 12, 14, 0.02, 1e-3
+#: Lengths of the leading letters that have rows of their own.
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Share of the sample held out to calibrate the thresholds.
 HELD_OUT = 0.25
 #: Labelled rows of a language, of each kind, below which it takes the common threshold.
@@ -29,7 +32,8 @@ RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("to
 
 def buckets_of(word):
     h = xxhash.xxh3_64_intdigest(word)
-    return h % BUCKETS, (h >> 32) * 0x9E3779B1 % BUCKETS
+    stems = [xxhash.xxh3_64_intdigest(word[:k], k) % BUCKETS for k in STEMS if len(word) >= k]
+    return [h % BUCKETS, (h >> 32) * 0x9E3779B1 % BUCKETS, *stems]
 
 
 def sigmoid(x):
@@ -75,12 +79,17 @@ def fit(rows, seed=5):
     if len(set(y.tolist())) < 2:
         return None
     codes, offsets, vocabulary = words(pa.array([r[0] for r in rows], pa.string()))
-    pairs = np.array([(BUCKETS, BUCKETS) if not w else buckets_of(w) for w in vocabulary], np.int64)  # code 0 is padding
-    used, local = np.unique(pairs, return_inverse=True)  # only rows that the sample touches are trained
-    local = local.reshape(pairs.shape)
+    # code 0 is padding; so are the stems that a word is too short for
+    parts = np.full((len(vocabulary), 2 + len(STEMS)), BUCKETS, np.int64)
+    for i, w in enumerate(vocabulary):
+        if w:
+            own = buckets_of(w)
+            parts[i, : len(own)] = own
+    used, local = np.unique(parts, return_inverse=True)  # only rows that the sample touches are trained
+    local = local.reshape(parts.shape)
     held = np.arange(len(rows)) < HELD_OUT * len(rows)
     docs = [codes[offsets[i] : offsets[i + 1]] for i in range(len(rows))]
-    emb = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
     emb[used == BUCKETS] = 0
     model = {"filters": [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], "bias": [np.zeros(FILTERS, np.float32) for _ in WIDTHS], "out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
     params = [emb, *model["filters"], *model["bias"], model["out"], model["c"]]
@@ -96,7 +105,7 @@ def fit(rows, seed=5):
             if vocab[0] != 0:
                 vocab, inverse = np.concatenate([[0], vocab]), inverse + 1
             rows_of = local[vocab]
-            vectors = emb[rows_of[:, 0]] + emb[rows_of[:, 1]]
+            vectors = emb[rows_of].sum(axis=1)
             vectors[0] = 0
             t = responses(model, vectors)
             grads = [np.zeros_like(p) for p in params[1:]]
@@ -129,8 +138,9 @@ def fit(rows, seed=5):
             touched, back = np.unique(rows_of, return_inverse=True)
             ge = np.zeros((len(touched), DIM), np.float32)
             back = back.reshape(rows_of.shape)
-            np.add.at(ge, back[:, 0], gv)
-            np.add.at(ge, back[:, 1], gv)
+            moving = np.abs(gv).sum(1) > 0
+            for k in range(back.shape[1]):
+                np.add.at(ge, back[moving, k], gv[moving])
             # rows without gradient shrink to 0 as well, so that words that tell nothing add nothing
             moved = np.abs(ge).sum(1) > 0
             e = touched[moved]
@@ -139,6 +149,7 @@ def fit(rows, seed=5):
             a0.v[e] += 0.05 * (ge[moved] ** 2 - a0.v[e])
             emb[e] -= rate * a0.m[e] / (np.sqrt(a0.v[e]) + 1e-4)
             emb[touched] *= 1 - 20 * rate * DECAY
+            emb[used == BUCKETS] = 0
             for x, g, own in zip(params[1:], grads, adam[1:], strict=True):
                 own.step(x, g + DECAY * x * (x.ndim > 1), rate)
     model["used"], model["emb"] = used[used < BUCKETS], emb[used < BUCKETS]
