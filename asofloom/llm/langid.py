@@ -25,7 +25,7 @@ PENALTY = -7.0
 #: A text is rejected if fewer than this share of its words is scored at all, or the two best languages are closer than MIN_MARGIN.
 MIN_KNOWN, MIN_MARGIN = 0.5, 0.02
 UNDETERMINED = "und"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("margin", T.DoubleType()), T.StructField("known", T.DoubleType())])
 

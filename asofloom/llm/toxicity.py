@@ -25,7 +25,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 HELD_OUT = 0.25
 #: Labelled rows of a language, of each kind, below which it takes the common threshold.
 MIN_CALIBRATION = 8
-CACHE_WORDS = 200_000
+CACHE_WORDS = 40_000
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 

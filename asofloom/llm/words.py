@@ -1,5 +1,6 @@
 """Vectorised tokenisation of Arrow text batches, deterministic samples of labelled rows, and written cuts of lineage."""
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -14,7 +15,16 @@ from pyspark.sql import functions as F
 NOT_WORD = re.compile(r"[\W_]+")
 
 #: Bytes of text that one vectorised step works on; longer texts form a step of their own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+
+
+def trim():
+    """Gives freed memory back to the system, where the C library can: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def worker_cache(key):
@@ -32,6 +42,8 @@ def byte_slices(texts, limit=STEP_BYTES):
         stop = min(n, max(stop, start + 1))
         yield start, stop
         start = stop
+    if n:
+        trim()
 
 
 def raw_tokens(texts):
@@ -85,7 +97,10 @@ def labelled_sample(docs, id_col, text_col, labelled, per_stratum):
     )
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     rows = texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]).toArrow().sort_by("i")
-    return list(zip(*[rows.column(c).to_pylist() for c in ("t", *labels)], strict=True))
+    out = list(zip(*[rows.column(c).to_pylist() for c in ("t", *labels)], strict=True))
+    del rows
+    trim()
+    return out
 
 
 def shared_folder(spark):
