@@ -90,8 +90,8 @@ class Centrality(Bridge):
     CHEAP = ("degree", "in_degree", "out_degree", "weighted_degree", "coreness", "clustering")
     HEAVY = ("betweenness", "eigenvector", "closeness")
 
-    def __init__(self, source, target, directed=True, weight=None, heavy=False, max_edges=MAX_EDGES, name="centrality", node="node"):
-        self.source, self.target, self.directed, self.weight, self.heavy, self.max_edges, self.name, self.node = source, target, directed, weight, heavy, max_edges, name, node
+    def __init__(self, source, target, directed=True, weight=None, heavy=False, max_edges=MAX_EDGES, rounds=100, name="centrality", node="node"):
+        self.source, self.target, self.directed, self.weight, self.heavy, self.max_edges, self.rounds, self.name, self.node = source, target, directed, weight, heavy, max_edges, rounds, name, node
         self.values = dict.fromkeys([*self.CHEAP, *(self.HEAVY if heavy else ())], "numeric")
 
     def compute(self, rows, fit_rows):
@@ -145,12 +145,12 @@ class Centrality(Bridge):
         named = spark.createDataFrame(pa.table({"i": pa.array(range(n), pa.int64()), "n": pa.array(names)}))
         return got.join(named, "i").select("n", (F.col("b") * scale).alias("betweenness"), F.col("c").alias("closeness"))
 
-    def _eigenvector(self, e, rounds=100, tolerance=1e-6):
+    def _eigenvector(self, e, tolerance=1e-6):
         """Power iteration on A + 1 from a constant vector, of unit length in the end."""
         a = written((e if self.directed else both_ways(e)).select("s", "t"))
         x = written(a.select(F.explode(F.array("s", "t")).alias("n")).distinct().withColumn("x", F.lit(1.0)))
         n = x.count()
-        for _ in range(rounds):
+        for _ in range(self.rounds):
             heard = a.join(x.select(F.col("n").alias("s"), "x"), "s").groupBy(F.col("t").alias("n")).agg(F.sum("x").alias("y"))
             y = x.join(heard, "n", "left").select("n", F.col("x").alias("old"), (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("y"))
             size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))
