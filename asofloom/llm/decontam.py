@@ -1,9 +1,11 @@
 """Operator 7: benchmark decontamination by Wu-Manber multi-pattern search.
 
-Patterns are the runs of NGRAM words of the benchmark items (shorter items: the whole item). With m the shortest pattern's bytes, the
-shift table holds, for a hashed block of BLOCK bytes, how far a window of m bytes that ends in the block may safely move. Where the shift
-is 0 the block's bucket names the patterns to try: first their leading bytes, then the whole pattern is compared. The batch's bytes are
-scanned in many lanes at once, each lane skipping by its own shifts.
+Patterns are the runs of NGRAM words of the benchmark items (shorter items, down to a single word: the whole item). In scripts that are
+written without spaces each character is a word. With m the shortest pattern's bytes, the shift table holds, for a hashed block of BLOCK
+bytes, how far a window of m bytes that ends in the block may safely move. Where the shift is 0 the block's bucket names the patterns to
+try: first their leading bytes, then the whole pattern is compared. The batch's bytes are scanned in many lanes at once, each lane skipping
+by its own shifts. Patterns of less than LONG bytes have a table of their own, so that they don't shorten the others' shifts; those of less
+than BLOCK bytes are compared with the bytes after each space.
 """
 
 from collections import defaultdict
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 from .words import byte_slices
 
 NGRAM = 8
-#: Words that an item needs to be searched at all; shorter ones would be found everywhere.
-MIN_WORDS = 5
+#: Words that an item needs to be searched at all: every item that has a word is.
+MIN_WORDS = 1
 BLOCK = 8
+#: Bytes from which patterns are searched together.
+LONG = 32
 TABLE_BITS = 18
 LANE = 192
 #: Bytes of patterns searched in one pass over the documents; a larger benchmark takes several passes.
@@ -27,9 +31,14 @@ PASS_BYTES = 64 << 20
 HITS = "array<struct<item_id:bigint,hits:bigint>>"
 
 
+#: A character of a script without spaces between words.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def normal(column):
-    """Lower case, with every run of other than letters and digits as one space, and a space at either end."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower case, with every run of other than letters and digits as one space, and a space at either end and around unspaced characters."""
+    apart = F.regexp_replace(F.lower(column), UNSPACED, " $1 ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 class Matcher:
@@ -80,16 +89,45 @@ class Matcher:
         return [(a, p) for a, p in zip(at[same].tolist(), pattern[same].tolist(), strict=True) if text.startswith(self.patterns[p], a)]
 
 
+class ShortMatcher:
+    def __init__(self, patterns):
+        """patterns: {bytes: sorted item ids}; each less than BLOCK bytes long, with a space in front."""
+        self.patterns = sorted(patterns)
+        self.items = [patterns[p] for p in self.patterns]
+        self.keys = {}
+        for size in sorted({len(p) for p in self.patterns}):
+            own = [(int.from_bytes(p, "little"), k) for k, p in enumerate(self.patterns) if len(p) == size]
+            self.keys[size] = [np.array(x, kind) for x, kind in zip(zip(*sorted(own), strict=True), (np.uint64, np.int64), strict=True)]
+
+    def find(self, text):
+        """(start, pattern) of all occurrences in a bytes object."""
+        block = np.ndarray(len(text), "<u8", text + bytes(BLOCK), strides=(1,))
+        at = np.flatnonzero(np.frombuffer(text, np.uint8) == ord(" "))
+        block, out = block[at], []
+        for size, (keys, pattern) in self.keys.items():
+            head = block & np.uint64((1 << 8 * size) - 1)
+            k = np.minimum(np.searchsorted(keys, head), len(keys) - 1)
+            same = keys[k] == head
+            out += zip(at[same].tolist(), pattern[k[same]].tolist(), strict=True)
+        return out
+
+
+def matchers(patterns):
+    """Matchers for the short, the middle and the long patterns, as far as there are any."""
+    parts = [{}, {}, {}]
+    for p, items in patterns.items():
+        parts[(len(p) >= BLOCK) + (len(p) >= LONG)][p] = items
+    return [kind(part) for kind, part in zip((ShortMatcher, Matcher, Matcher), parts, strict=True) if part]
+
+
 def patterns_of(items, ngram=NGRAM, min_words=MIN_WORDS):
-    """{pattern: item ids} of (item_id, normal text) rows; patterns too short for a block are left out."""
+    """{pattern: item ids} of (item_id, normal text) rows."""
     out = defaultdict(set)
     for item, text in items:
         w = text.split()
         if len(w) >= min_words:
             for k in range(max(1, len(w) - ngram + 1)):
-                p = f" {' '.join(w[k : k + ngram])} ".encode()
-                if len(p) >= BLOCK:
-                    out[p].add(item)
+                out[f" {' '.join(w[k : k + ngram])} ".encode()].add(item)
     return {p: sorted(i) for p, i in out.items()}
 
 
@@ -118,18 +156,20 @@ def searcher(spark, patterns):
 
     @F.arrow_udf(HITS)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(shared.value) if shared.value else None
+        every = matchers(shared.value)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("hits", pa.int64())]))
         for texts in batches:
             found = [[] for _ in range(len(texts))]
-            for a, b in byte_slices(texts) if matcher else ():
+            for a, b in byte_slices(texts) if every else ():
                 parts = [x.encode() if x else b"" for x in texts.slice(a, b - a).to_pylist()]
                 ends = np.cumsum([len(x) + 1 for x in parts])
                 counts = defaultdict(lambda: defaultdict(int))
-                hits = matcher.find(b"\n".join(parts))
-                for row, (_, p) in zip(np.searchsorted(ends, [h[0] for h in hits], side="right").tolist(), hits, strict=True):
-                    for item in matcher.items[p]:
-                        counts[row][item] += 1
+                joined = b"\n".join(parts)
+                for matcher in every:
+                    hits = matcher.find(joined)
+                    for row, (_, p) in zip(np.searchsorted(ends, [h[0] for h in hits], side="right").tolist(), hits, strict=True):
+                        for item in matcher.items[p]:
+                            counts[row][item] += 1
                 for row, own in counts.items():
                     found[a + row] = [{"item_id": i, "hits": n} for i, n in sorted(own.items())]
             yield pa.array(found, kind)
@@ -145,7 +185,7 @@ def benchmark_patterns(benchmark, item_col="item_id", text_col="text", ngram=NGR
 def contamination(df, benchmark, ngram=NGRAM, id_col="doc_id", text_col="text", pass_bytes=PASS_BYTES):
     """Rows (doc_id, item_id, hits): the items that documents hold a run of ``ngram`` words of, and at how many places such runs start.
 
-    Case, punctuation and white space don't matter. Null and empty texts, and null ids of items, match nothing. Rows that repeat an id
+    Of an item of fewer words the whole is sought, also if it is a single word. Case, punctuation and white space don't matter. Null and empty texts, and null ids of items, match nothing. Rows that repeat an id
     count each for itself. An empty table on either side gives an empty result. Documents' other columns are neither read nor returned.
     """
     spark = df.sparkSession
@@ -160,7 +200,7 @@ def contamination(df, benchmark, ngram=NGRAM, id_col="doc_id", text_col="text",
 
 
 def decontaminate(df, benchmark, ngram=NGRAM, text_col="text", pass_bytes=PASS_BYTES):
-    """``df`` without the rows whose text holds a run of ``ngram`` words of an item."""
+    """``df`` without the rows whose text holds a run of ``ngram`` words of an item, or a shorter item as a whole."""
     for part in passes(benchmark_patterns(benchmark, ngram=ngram), pass_bytes):
         df = df.where(F.size(searcher(df.sparkSession, part)(normal(F.coalesce(F.col(text_col), F.lit(""))))) == 0)
     return df

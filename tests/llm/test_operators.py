@@ -188,6 +188,16 @@ def test_decontamination_is_that_of_plain_search(spark):
     assert decontam.contamination(df, bench.where("false")).count() == 0
 
 
+def test_short_and_unspaced_items_are_sought(spark):
+    long = "今天天气很好我们一起去公园散步然后回家吃饭"
+    items = [(1, "Yes."), (2, "42"), (3, "a b"), (4, "red blue"), (5, long), (6, "ภาษาไทย"), (7, "?!"), (8, "東京"), (9, "one two three four")]
+    docs = [(1, "yes, YES; yesterday a-b"), (2, "x 42 y 420"), (3, "red, blue red"), (4, f"他说{long}真好"), (5, "นี่คือภาษาไทยครับ"), (6, "夏の東京は暑い"), (7, "zero one two three four five"), (8, "yesno"), (9, f"今天天气很好我们，{long[8:12]}"), (10, "one two three")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["hits"] for r in decontam.contamination(df, bench).collect()}
+    assert got == {(1, 1): 2, (1, 3): 1, (2, 2): 1, (3, 4): 1, (4, 5): len(long) - 7, (5, 6): 1, (6, 8): 1, (7, 9): 1, (9, 5): 5}
+    assert {r["doc_id"] for r in decontam.decontaminate(df, bench).collect()} == {8, 10}
+
+
 # ---- 8
 
 
