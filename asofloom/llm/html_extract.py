@@ -26,8 +26,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks inside these are bad whatever their text.
 FURNITURE = frozenset("nav footer aside form select menu".split())
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<![^>]*>", re.S | re.I)
-_HEAD_OPEN = re.compile(r"<head\b", re.I)
+#: From <head> to its end tag or, where that is left out, to the first text or tag that can't stand in a head.
+_HEAD = r"""<head(?=[\s/>])[^>]*>(?>\s+|<!--.*?(?:-->|\Z)|<![^>]*>|<(script|style|noscript|template)\b.*?(?:</\2\s*>|\Z)|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)|</?(?:meta|link|base|basefont|bgsound)\b(?>[^>"']|"[^"]*"|'[^']*'|["'])*+>)*+(?:</head\s*>)?"""
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|" + _HEAD + r"|<![^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>")
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 _SPACE = re.compile(r"\s+")

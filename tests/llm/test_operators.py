@@ -271,6 +271,17 @@ def test_html_rules():
     assert html_extract.extract_page("") == ("", 0, 0) and html_extract.extract_page("<p>a < b")[1] == 1
 
 
+def test_html_head_without_end_tag():
+    good = "The house of the people and the story that they were told in a long way is for all of us to be there with them, as it was. " * 3
+    head = "<title>The <body> of a title <!-- x</title>\n<meta name=a content='<p>'><link href=b><style>p {}</style><script>'</head>'</script><!-- <p> -->"
+    whole = html_extract.extract_page(f"<html lang=en><head>{head}</head><body><p>{good}</p><p>{good}</p>")
+    assert whole == (f"{good.strip()}\n{good.strip()}", 2, 2)
+    for body in (f"<body><p>{good}</p>", f"<p>{good}</p>", f"{good}", f"<div>{good}</div>", f"<header></header>{good}<p>"):
+        assert html_extract.extract_page(f"<html lang=en><head>{head}{body}<p>{good}</p>") == whole
+        assert html_extract.extract_page(f"<html lang=en><HEAD profile=x>{head}{body}<p>{good}</p><script>'</head>'</script>") == whole
+    assert html_extract.extract_page(f"<html lang=en><head><title>t<body><p>{good}</p><p>{good}") == whole
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 20_000), (4, "<!-- never closed"), (None, "<p>x"), (2, "")]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
