@@ -31,13 +31,15 @@ PASS_BYTES = 64 << 20
 HITS = "array<struct<item_id:bigint,hits:bigint>>"
 
 
-#: A character of a script without spaces between words.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: A character of a script without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han. Ranges, as properties of scripts are slow.
+UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9F\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}])"
 
 
 def normal(column):
     """Lower case, with every run of other than letters and digits as one space, and a space at either end and around unspaced characters."""
-    apart = F.regexp_replace(F.lower(column), UNSPACED, " $1 ")
+    low = F.lower(column)
+    # where each character is one byte there are none to set apart
+    apart = F.when(F.length(low) == F.octet_length(low), low).otherwise(F.regexp_replace(low, UNSPACED, " $1 "))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
