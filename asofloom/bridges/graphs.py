@@ -4,6 +4,7 @@ Betweenness, closeness and Louvain communities need the whole graph in one place
 ``max_edges`` edges; beyond, betweenness and closeness raise, and communities come from label propagation, which is a plain join.
 """
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -34,12 +35,13 @@ def both_ways(e):
 class PageRank(Bridge):
     """Page rank of the nodes of an edge table, damping 0.85; the rank of nodes without an edge out goes to all alike.
 
-    Stops when ranks move by less than ``tolerance`` a node on average. A node's own output key is ``node``.
+    Stops when ranks, whose sum is 1, move by less than ``tolerance`` in all. Movement shrinks by the damping in each round, which bounds the
+    rounds unless ``max_rounds`` does; ArithmeticError if these don't suffice. A node's own output key is ``node``.
     """
 
     values = {"pagerank": "numeric"}
 
-    def __init__(self, source, target, directed=True, alpha=0.85, tolerance=1e-6, max_rounds=100, name="pagerank", node="node"):
+    def __init__(self, source, target, directed=True, alpha=0.85, tolerance=1e-6, max_rounds=None, name="pagerank", node="node"):
         self.source, self.target, self.directed, self.alpha, self.tolerance, self.max_rounds, self.name, self.node = source, target, directed, alpha, tolerance, max_rounds, name, node
 
     def compute(self, rows, fit_rows):
@@ -53,7 +55,7 @@ class PageRank(Bridge):
         if not n:
             return nodes.select(F.col("n").alias(self.node), F.lit(None).cast("double").alias("pagerank"))
         ranks = nodes.withColumn("r", F.lit(1.0 / n))
-        for _ in range(self.max_rounds):
+        for _ in range(self.max_rounds or math.ceil(math.log(self.tolerance / 2) / math.log(self.alpha)) + 2):
             sent = e.join(ranks.where("d is not null").select(F.col("n").alias("s"), (F.col("r") / F.col("d")).alias("g")), "s").groupBy(F.col("t").alias("n")).agg(F.sum("g").alias("g"))
             lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("r"))), F.lit(0.0)).alias("lost"))
             new = ranks.join(sent, "n", "left").crossJoin(F.broadcast(lost))
@@ -61,8 +63,10 @@ class PageRank(Bridge):
             new = written(new.select("n", "d", value.alias("r"), F.abs(value - F.col("r")).alias("moved")))
             moved = new.agg(F.sum("moved")).first()[0]
             ranks = new.drop("moved")
-            if moved < n * self.tolerance:
+            if moved < self.tolerance:
                 break
+        else:
+            raise ArithmeticError(f"ranks still move by {moved} in all")
         return ranks.select(F.col("n").alias(self.node), F.col("r").alias("pagerank"))
 
 

@@ -32,6 +32,21 @@ def test_pagerank_is_that_of_dense_iteration(spark):
     assert [got[n]["pagerank"] for n in names] == pytest.approx(r, abs=1e-4)
 
 
+def test_pagerank_converges_whatever_the_size(spark):
+    rng = np.random.default_rng(0)
+    n = 3000
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, n, 9000), rng.integers(0, n, 9000) ** 2 // n, strict=True) if a != b})
+    s, t = np.array(pairs).T
+    nodes = np.unique([s, t])
+    s, t = np.searchsorted(nodes, s), np.searchsorted(nodes, t)
+    out, n = np.bincount(s, minlength=len(nodes)), len(nodes)
+    r = np.full(n, 1 / n)
+    for _ in range(200):
+        r = 0.15 / n + 0.85 * (np.bincount(t, r[s] / out[s], minlength=n) + r[out == 0].sum() / n)
+    got = values(b.PageRank("s", "t").run(spark.createDataFrame(pairs, "s long, t long")))
+    assert [got[x]["pagerank"] / y for x, y in zip(nodes.tolist(), r, strict=True)] == pytest.approx(np.ones(n), abs=1e-4)
+
+
 def test_centrality(spark):
     line = values(b.Centrality("s", "t", directed=False, heavy=True, rounds=6).run(edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "d"), ("a", "a")])))
     assert {n: r["degree"] for n, r in line.items()} == {"a": 1, "b": 3, "c": 2, "d": 3, "e": 1}
