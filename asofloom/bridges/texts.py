@@ -182,15 +182,19 @@ class SentenceEmbedding(Bridge):
 class TfidfTopicShare(Bridge):
     """A text's loading on the first singular vector of the fitted texts' tf-idf matrix.
 
-    Rows are of unit length, idf is smoothed. The vector comes from a power iteration over (document, term, weight) rows, each round a
-    written table; its largest component is positive, which fixes the sign.
+    Rows are of unit length, idf is smoothed. The vector comes from a locally optimal conjugate gradient iteration over (document, term,
+    weight) rows, each round a written table: the best vector of the span of the last one, its residual and the last step. It ends when the
+    residual is below ``tolerance`` of the eigenvalue, or after ``rounds`` where these are given; its largest component is positive, which
+    fixes the sign. ArithmeticError if MAX_ROUNDS don't suffice.
     """
 
+    MAX_ROUNDS = 1000
+
     values = {"tfidf_topic_share": "numeric"}
     STOP = frozenset("the of and to in a is that it for on was with as be at by this not but are from or have an they which you were all there when he she his her we our i me my your its their will would can could if so no do did has had been than then them these those who what".split())
 
-    def __init__(self, pk, text, rounds=12, name="tfidf_topic_share"):
-        self.pk, self.text, self.rounds, self.name = pk, text, rounds, name
+    def __init__(self, pk, text, rounds=None, tolerance=1e-9, name="tfidf_topic_share"):
+        self.pk, self.text, self.rounds, self.tolerance, self.name = pk, text, rounds, tolerance, name
 
     def _terms(self, rows):
         w = F.filter(word_list(q(self.text)), lambda t: (F.length(t) > 1) & ~t.isin(sorted(self.STOP)))
@@ -206,16 +210,48 @@ class TfidfTopicShare(Bridge):
         n = fit_rows.count()
         idf = written(fit.groupBy("t").agg(F.count("*").alias("df")).select("t", (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
         a = written(self._weights(fit, idf))
-        v = idf.select("t", F.lit(1.0).alias("v"))
-        for _ in range(self.rounds):
-            u = a.join(v, "t").groupBy("d").agg(F.sum(F.col("w") * F.col("v")).alias("u"))
-            v = a.join(u, "d").groupBy("t").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
-            size = v.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("s"))
-            v = written(v.crossJoin(F.broadcast(size)).select("t", (F.col("v") / F.col("s")).alias("v")))
+        v = self._first_vector(a, idf.select("t")).select("t", F.col("x").alias("v"))
         own = a if rows is fit_rows else self._weights(self._terms(rows), idf)
         share = own.join(v, "t").groupBy("d").agg(F.sum(F.col("w") * F.col("v")).alias("x"))
         return rows.select(q(self.pk)).join(share.withColumnRenamed("d", "__d"), q(self.pk) == F.col("__d"), "left").select(q(self.pk), F.coalesce("x", F.lit(0.0)).alias("tfidf_topic_share"))
 
+    def _first_vector(self, a, terms):
+        def image(of, name):
+            u = a.join(of.select("t", F.col(name).alias("__x")), "t").groupBy("d").agg(F.sum(F.col("w") * F.col("__x")).alias("__u"))
+            return a.join(u, "d").groupBy("t").agg(F.sum(F.col("w") * F.col("__u")).alias(f"b{name}"))
+
+        n = terms.count()
+        x = terms.withColumn("x", F.lit(1.0 / max(n, 1) ** 0.5))
+        now = written(x.join(image(x, "x"), "t").select("t", "x", "bx", F.lit(0.0).alias("p"), F.lit(0.0).alias("bp")))
+        value = now.agg(F.sum(F.col("x") * F.col("bx"))).first()[0]
+        for _ in range(self.rounds or self.MAX_ROUNDS):
+            if not value:
+                return now
+            rest = F.col("bx") - value * F.col("x")
+            size = now.agg(F.sqrt(F.sum(rest * rest))).first()[0]
+            if size <= self.tolerance * value:
+                return now
+            w = now.withColumn("r", rest / size)
+            w = written(w.join(image(w, "r"), "t"))
+            names = ("x", "r", "p")
+            pairs = [(i, j) for i in range(3) for j in range(i + 1)]
+            sums = w.agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}{j}") for i, j in pairs), *(F.sum(F.col(names[i]) * F.col(f"b{names[j]}")).alias(f"h{i}{j}") for i, j in pairs)).first()
+            gram, held = np.zeros((3, 3)), np.zeros((3, 3))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = sums[f"g{i}{j}"]
+                held[i, j] = held[j, i] = sums[f"h{i}{j}"]
+            length, axes = np.linalg.eigh(gram)
+            basis = (axes / np.sqrt(np.maximum(length, 1e-300)))[:, length > 1e-12]
+            values, vectors = np.linalg.eigh(basis.T @ held @ basis)
+            value, c = float(values[-1]), basis @ vectors[:, -1]
+            c = (c if c[0] > 0 else -c).tolist()
+            step = np.sqrt(max(c[1] ** 2 * gram[1, 1] + 2 * c[1] * c[2] * gram[1, 2] + c[2] ** 2 * gram[2, 2], 1e-300)).item()
+            p, bp = c[1] * F.col("r") + c[2] * F.col("p"), c[1] * F.col("br") + c[2] * F.col("bp")
+            now = written(w.select("t", (c[0] * F.col("x") + p).alias("x"), (c[0] * F.col("bx") + bp).alias("bx"), (p / step).alias("p"), (bp / step).alias("bp")))
+        if self.rounds is None:
+            raise ArithmeticError(f"no first singular vector after {self.MAX_ROUNDS} rounds")
+        return now
+
 
 class NearDuplicateEdges:
     """Edges (src, dst, ts) between texts whose sets of word shingles have a Jaccard similarity of at least ``threshold``.

@@ -140,7 +140,7 @@ def _edges(spark, sf_dir):
 
 @add("bridge_tfidf_topic_share")
 def topic_share(spark, sf_dir):
-    return tidy(b.TfidfTopicShare("conv_id", "text", rounds=8).run(read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))), 4)
+    return tidy(b.TfidfTopicShare("conv_id", "text").run(read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))), 4)
 
 
 @add("bridge_pagerank")

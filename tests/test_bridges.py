@@ -83,6 +83,17 @@ def test_topic_share_is_the_first_singular_vector(spark):
     assert [got[i]["tfidf_topic_share"] for i in range(5)] == pytest.approx(u, abs=0.02)
 
 
+def test_topic_share_converges_on_a_small_gap(spark):
+    texts = [f"apple banana {x}" for x in ("cherry", "melon", "cherry melon", "grape")] + [f"zebra lion {x}" for x in ("tiger", "bear", "tiger bear", "grape")] + ["apple zebra", "banana"]
+    words = sorted({w for t in texts for w in t.split()})
+    tf = np.array([[t.split().count(w) for w in words] for t in texts], float)
+    a = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u = np.abs(a @ np.linalg.svd(a)[2][0])
+    got = values(b.TfidfTopicShare("id", "text").run(spark.createDataFrame(list(enumerate(texts)), "id int, text string")), "id")
+    assert [got[i]["tfidf_topic_share"] for i in range(len(texts))] == pytest.approx(u, abs=1e-6)
+
+
 def test_near_duplicates_and_time(spark):
     base = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(60))
     rows = [(1, base, dt.date(2024, 3, 1)), (2, base + " x", dt.date(2024, 1, 1)), (3, "something else entirely here", dt.date(2024, 1, 1)), (4, None, dt.date(2024, 1, 1)), (5, "", None)]
