@@ -31,6 +31,7 @@ _HEAD = r"""<head(?=[\s/>])[^>]*>(?>\s+|<!--.*?(?:-->|\Z)|<![^>]*>|<(script|styl
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|" + _HEAD + r"|<![^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>")
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -122,7 +123,7 @@ def second_pass(labels):
 
 def extract_page(html):
     """(main text with a line for each block, number of blocks, number of good blocks) of a page."""
-    m = _LANG.search(html[:4096])
+    m = _LANG.search(_COMMENT.sub(" ", html))
     stop = SETS.get(m[1].lower(), ALL_STOP_WORDS) if m else ALL_STOP_WORDS
     blocks = blocks_of(html)
     labels = second_pass([first_pass(b, stop) for b in blocks])

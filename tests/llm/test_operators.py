@@ -282,6 +282,12 @@ def test_html_head_without_end_tag():
     assert html_extract.extract_page(f"<html lang=en><head><title>t<body><p>{good}</p><p>{good}") == whole
 
 
+def test_html_language_after_a_long_comment():
+    text = "Haus und Garten der Leute " * 10
+    page = f"<!-- <html lang=de> {'x' * 5000} --><html lang=fr><body><p>{text}</p>"
+    assert html_extract.extract_page(page) == html_extract.extract_page(f"<html lang=fr><body><p>{text}</p>") != html_extract.extract_page(f"<body><p>{text}</p>")
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 20_000), (4, "<!-- never closed"), (None, "<p>x"), (2, "")]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
