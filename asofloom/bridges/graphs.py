@@ -94,7 +94,7 @@ class Centrality(Bridge):
     CHEAP = ("degree", "in_degree", "out_degree", "weighted_degree", "coreness", "clustering")
     HEAVY = ("betweenness", "eigenvector", "closeness")
 
-    def __init__(self, source, target, directed=True, weight=None, heavy=False, max_edges=MAX_EDGES, rounds=100, name="centrality", node="node"):
+    def __init__(self, source, target, directed=True, weight=None, heavy=False, max_edges=MAX_EDGES, rounds=1000, name="centrality", node="node"):
         self.source, self.target, self.directed, self.weight, self.heavy, self.max_edges, self.rounds, self.name, self.node = source, target, directed, weight, heavy, max_edges, rounds, name, node
         self.values = dict.fromkeys([*self.CHEAP, *(self.HEAVY if heavy else ())], "numeric")
 
@@ -150,19 +150,25 @@ class Centrality(Bridge):
         return got.join(named, "i").select("n", (F.col("b") * scale).alias("betweenness"), F.col("c").alias("closeness"))
 
     def _eigenvector(self, e, tolerance=1e-6):
-        """Power iteration on A + 1 from a constant vector, of unit length in the end."""
+        """Power iteration on A + 1 from a constant vector, of unit length. Null for all nodes where ``rounds`` don't suffice.
+
+        It ends when the vector's movement, and what is left of the way if movement goes on shrinking as in this round, are below ``tolerance``.
+        """
         a = written((e if self.directed else both_ways(e)).select("s", "t"))
-        x = written(a.select(F.explode(F.array("s", "t")).alias("n")).distinct().withColumn("x", F.lit(1.0)))
-        n = x.count()
+        x = written(a.select(F.explode(F.array("s", "t")).alias("n")).distinct())
+        x, last = x.withColumn("x", F.lit(1.0 / max(x.count(), 1) ** 0.5)), math.inf
         for _ in range(self.rounds):
             heard = a.join(x.select(F.col("n").alias("s"), "x"), "s").groupBy(F.col("t").alias("n")).agg(F.sum("x").alias("y"))
             y = x.join(heard, "n", "left").select("n", F.col("x").alias("old"), (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("y"))
             size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))
             y = written(y.crossJoin(F.broadcast(size)).select("n", (F.col("y") / F.col("size")).alias("x"), F.abs(F.col("y") / F.col("size") - F.col("old")).alias("moved")))
-            moved = y.agg(F.sum("moved")).first()[0] or 0.0
+            moved = y.agg(F.sqrt(F.sum(F.col("moved") * F.col("moved")))).first()[0] or 0.0
             x = y.drop("moved")
-            if moved < n * tolerance:
+            if moved < 1e-15 or moved < min(last, tolerance) and moved * moved / (last - moved) < tolerance:
                 break
+            last = moved
+        else:
+            x = x.withColumn("x", F.lit(None).cast("double"))
         return x.withColumnRenamed("x", "eigenvector")
 
 

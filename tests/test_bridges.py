@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from asofloom import bridges as b
-from asofloom.bridges.graphs import louvain
+from asofloom.bridges.graphs import louvain, simple_edges
 
 
 def edges(spark, pairs):
@@ -58,6 +58,18 @@ def test_centrality(spark):
         b.Centrality("s", "t", heavy=True, max_edges=1).run(edges(spark, PATH))
 
 
+def test_eigenvector_is_the_dense_one_or_null(spark):
+    pairs = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d"), ("d", "e")]
+    m = np.zeros((5, 5))
+    for s, t in pairs:
+        m["abcde".index(s), "abcde".index(t)] = m["abcde".index(t), "abcde".index(s)] = 1
+    want = np.abs(np.linalg.eigh(m)[1][:, -1])
+    heavy = lambda **k: {r["n"]: r["eigenvector"] for r in b.Centrality("s", "t", directed=False, heavy=True, **k)._eigenvector(simple_edges(edges(spark, pairs), "s", "t")).collect()}
+    got = heavy()
+    assert [got[n] for n in "abcde"] == pytest.approx(want, abs=1e-5)
+    assert heavy(rounds=2) == dict.fromkeys("abcde")
+
+
 CLIQUES = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(4) for j in range(i)] + [("x0", "y0")]
 
 
