@@ -198,11 +198,26 @@ def _ema(rate, n):
     return build
 
 
+def _slope(n):
+    def build(x, r):
+        # times and values count from the current row's: squares of whole epochs would lose the digits that matter
+        here = F.coalesce(x, F.lit(0.0))
+        row = F.struct(x.alias("x"), micros(q(r.ts)).alias("t"))
+        rows = F.collect_list(row).over(r.last(n))
+        seconds = lambda e: (e["t"] - micros(q(r.ts))) / F.lit(1e6)
+        total = lambda f: F.aggregate(rows, F.lit(0.0), lambda s, e: s + F.coalesce(f(seconds(e), e["x"] - here), F.lit(0.0)))
+        size = nz(total(lambda t, v: F.when(t.isNotNull() & v.isNotNull(), 1.0)))
+        st, sv = total(lambda t, v: F.when(v.isNotNull(), t)), total(lambda t, v: F.when(t.isNotNull(), v))
+        return (total(lambda t, v: t * v) - st * sv / size) / nz(total(lambda t, v: F.when(v.isNotNull(), t * t)) - st * st / size)
+
+    return build
+
+
 add("ema_7", N, _ema(0.25, 7), "mean of the last 7 rows, weighted exponentially by age", **W)
 add("ema_14", N, _ema(0.15, 14), "mean of the last 14 rows, weighted exponentially by age", **W)
 for _k in (7, 14):
     add(f"holt_winters_level_{_k}", N, lambda x, r, k=_k: F.avg(x).over(r.last(k)), f"level of the last {_k} rows", **W)
-    add(f"holt_winters_trend_{_k}", N, lambda x, r, k=_k: F.regr_slope(x, micros(q(r.ts)) / F.lit(1e6)).over(r.last(k)), f"slope a second of the last {_k} rows", **W)
+    add(f"holt_winters_trend_{_k}", N, _slope(_k), f"slope a second of the last {_k} rows", **W)
     add(f"mean_shift_ratio_{_k}", N, lambda x, r, k=_k: F.avg(x).over(r.last(k)) / nz(F.avg(x).over(r.order().rowsBetween(-(2 * k - 1), -k))), f"mean of the last {_k} rows over that of the {_k} before", **W)
 for _k in (1, 3):
     add(f"pct_change_{_k}", N, lambda x, r, k=_k: (x - F.lag(x, k).over(r.order())) / nz(F.lag(x, k).over(r.order())), f"relative change over {_k} rows", **W)
