@@ -54,13 +54,13 @@ class PageRank(Bridge):
         n = nodes.count()
         if not n:
             return nodes.select(F.col("n").alias(self.node), F.lit(None).cast("double").alias("pagerank"))
-        ranks = nodes.withColumn("r", F.lit(1.0 / n))
+        ranks, new = nodes.withColumn("r", F.lit(1.0 / n)), None
         for _ in range(self.max_rounds or math.ceil(math.log(self.tolerance / 2) / math.log(self.alpha)) + 2):
             sent = e.join(ranks.where("d is not null").select(F.col("n").alias("s"), (F.col("r") / F.col("d")).alias("g")), "s").groupBy(F.col("t").alias("n")).agg(F.sum("g").alias("g"))
             lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("r"))), F.lit(0.0)).alias("lost"))
-            new = ranks.join(sent, "n", "left").crossJoin(F.broadcast(lost))
+            joined = ranks.join(sent, "n", "left").crossJoin(F.broadcast(lost))
             value = F.lit((1 - self.alpha) / n) + self.alpha * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n)
-            new = written(new.select("n", "d", value.alias("r"), F.abs(value - F.col("r")).alias("moved")))
+            new = written(joined.select("n", "d", value.alias("r"), F.abs(value - F.col("r")).alias("moved")), instead=new)
             moved = new.agg(F.sum("moved")).first()[0]
             ranks = new.drop("moved")
             if moved < self.tolerance:
@@ -77,11 +77,12 @@ def coreness(e):
     both directions counts twice.
     """
     adjacent = written(both_ways(e).select(F.col("s").alias("n"), F.col("t").alias("m")))
-    now = written(adjacent.groupBy("n").agg(F.count("*").alias("k")))
+    new = written(adjacent.groupBy("n").agg(F.count("*").alias("k")))
+    now = new
     while True:
         heard = adjacent.join(now.select(F.col("n").alias("m"), F.col("k").alias("km")), "m").groupBy("n").agg(F.sort_array(F.collect_list("km"), False).alias("ks"))
         h = F.size(F.filter(F.transform("ks", lambda v, i: v >= i + 1), lambda ok: ok)).cast("long")
-        new = written(now.join(heard, "n").select("n", F.least("k", h).alias("k"), (h < F.col("k")).alias("changed")))
+        new = written(now.join(heard, "n").select("n", F.least("k", h).alias("k"), (h < F.col("k")).alias("changed")), instead=new)
         done = new.where("changed").isEmpty()
         now = new.drop("changed")
         if done:
@@ -156,14 +157,14 @@ class Centrality(Bridge):
         """
         a = written((e if self.directed else both_ways(e)).select("s", "t"))
         x = written(a.select(F.explode(F.array("s", "t")).alias("n")).distinct())
-        x, last = x.withColumn("x", F.lit(1.0 / max(x.count(), 1) ** 0.5)), math.inf
+        x, last, new = x.withColumn("x", F.lit(1.0 / max(x.count(), 1) ** 0.5)), math.inf, None
         for _ in range(self.rounds):
             heard = a.join(x.select(F.col("n").alias("s"), "x"), "s").groupBy(F.col("t").alias("n")).agg(F.sum("x").alias("y"))
             y = x.join(heard, "n", "left").select("n", F.col("x").alias("old"), (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("y"))
             size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))
-            y = written(y.crossJoin(F.broadcast(size)).select("n", (F.col("y") / F.col("size")).alias("x"), F.abs(F.col("y") / F.col("size") - F.col("old")).alias("moved")))
-            moved = y.agg(F.sqrt(F.sum(F.col("moved") * F.col("moved")))).first()[0] or 0.0
-            x = y.drop("moved")
+            new = written(y.crossJoin(F.broadcast(size)).select("n", (F.col("y") / F.col("size")).alias("x"), F.abs(F.col("y") / F.col("size") - F.col("old")).alias("moved")), instead=new)
+            moved = new.agg(F.sqrt(F.sum(F.col("moved") * F.col("moved")))).first()[0] or 0.0
+            x = new.drop("moved")
             if moved < 1e-15 or moved < min(last, tolerance) and moved * moved / (last - moved) < tolerance:
                 break
             last = moved

@@ -231,8 +231,8 @@ class TfidfTopicShare(Bridge):
             size = now.agg(F.sqrt(F.sum(rest * rest))).first()[0]
             if size <= self.tolerance * value:
                 return now
-            w = now.withColumn("r", rest / size)
-            w = written(w.join(image(w, "r"), "t"))
+            w = now.withColumn("r", rest / size)  # of the last round's table, which goes with this one's
+            w = written(w.join(image(w, "r"), "t"), instead=now)
             names = ("x", "r", "p")
             pairs = [(i, j) for i in range(3) for j in range(i + 1)]
             sums = w.agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}{j}") for i, j in pairs), *(F.sum(F.col(names[i]) * F.col(f"b{names[j]}")).alias(f"h{i}{j}") for i, j in pairs)).first()
@@ -247,7 +247,7 @@ class TfidfTopicShare(Bridge):
             c = (c if c[0] > 0 else -c).tolist()
             step = np.sqrt(max(c[1] ** 2 * gram[1, 1] + 2 * c[1] * c[2] * gram[1, 2] + c[2] ** 2 * gram[2, 2], 1e-300)).item()
             p, bp = c[1] * F.col("r") + c[2] * F.col("p"), c[1] * F.col("br") + c[2] * F.col("bp")
-            now = written(w.select("t", (c[0] * F.col("x") + p).alias("x"), (c[0] * F.col("bx") + bp).alias("bx"), (p / step).alias("p"), (bp / step).alias("bp")))
+            now = written(w.select("t", (c[0] * F.col("x") + p).alias("x"), (c[0] * F.col("bx") + bp).alias("bx"), (p / step).alias("p"), (bp / step).alias("bp")), instead=w)
         if self.rounds is None:
             raise ArithmeticError(f"no first singular vector after {self.MAX_ROUNDS} rounds")
         return now
