@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import bare, byte_slices, labelled_sample, segment_sum, words
+from .words import byte_slices, labelled_sample, segment_sum, words
 
 #: Labelled documents of each language that the model is fitted on, at most.
 FIT_DOCS = 2000
@@ -55,7 +55,9 @@ def fit(rows, n_max=N_MAX, min_count=MIN_COUNT):
     """A model from (text, language) rows: languages, then a table for words and one for each n-gram length."""
     by_lang = {}
     for text, lang in rows:
-        by_lang.setdefault(lang, Counter()).update(filter(None, map(bare, text.split())))
+        codes, _, vocabulary = words(pa.array([text], pa.string()))
+        n = np.bincount(codes, minlength=len(vocabulary)).tolist()
+        by_lang.setdefault(lang, Counter()).update({w: c for w, c in zip(vocabulary.to_pylist(), n, strict=True) if c})
     langs = sorted(by_lang)
     tables = {0: table(by_lang, langs, min_count)}
     for n in range(1, n_max + 1):
@@ -96,7 +98,7 @@ class Scorer:
         if len(self.index) > CACHE_WORDS:
             self.clear()
         index, at = self.index, np.empty(len(vocabulary), np.int64)
-        for k, w in enumerate(vocabulary):
+        for k, w in enumerate(vocabulary.to_pylist()):
             i = index.get(w)
             if i is None:
                 i = index[w] = len(index)

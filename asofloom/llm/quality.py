@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,14 +42,15 @@ def mix(a, b):
 def features(texts):
     """(row of each feature, feature): the distinct hashed n-grams of each text, ordered by row."""
     codes, offsets, raw = raw_tokens(texts)
-    if "" in raw:  # what stands before leading and after trailing white space is no token
-        keep = codes != raw.index("")
+    empty = pc.index(raw, "").as_py()
+    if empty >= 0:  # what stands before leading and after trailing white space is no token
+        keep = codes != empty
         codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     kinds = []
-    for salt, of in ((1, bare), (2, shape)):
-        own = np.fromiter((xxhash.xxh3_64_intdigest(of(w), salt) for w in raw), np.uint64, len(raw))[codes] if len(codes) else np.zeros(0, np.uint64)
+    for salt, units in ((1, bare(raw).to_pylist()), (2, map(shape, raw.to_pylist()))):
+        own = np.fromiter((xxhash.xxh3_64_intdigest(u, salt) for u in units), np.uint64, len(raw))[codes] if len(codes) else np.zeros(0, np.uint64)
         pair = row[1:] == row[:-1]
         kinds += [(row, own), (row[1:][pair], mix(own[:-1], own[1:])[pair])]
     rows = np.concatenate([k[0] for k in kinds]).astype(np.uint64)

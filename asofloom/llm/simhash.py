@@ -39,7 +39,7 @@ def signatures(texts):
     size = len(vocabulary)
     key, count = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * size + codes, return_counts=True)
     doc, word, weight = key // size, key % size, np.round(16 * np.sqrt(count)).astype(np.float32)
-    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint8).reshape(size, 16)
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary.to_pylist())), np.uint8).reshape(size, 16)
     signs = np.unpackbits(digest, axis=1).view(np.int8) * np.int8(2) - np.int8(1)
     signs = signs.astype(np.float32)
     at = np.searchsorted(doc, np.arange(n + 1))

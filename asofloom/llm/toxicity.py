@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +24,52 @@ STEMS = (3, 4, 5, 6, 7, 8)
 HELD_OUT = 0.25
 #: Labelled rows of a language, of each kind, below which it takes the common threshold.
 MIN_CALIBRATION = 8
-CACHE_WORDS = 40_000
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
 
-def buckets_of(word):
-    h = xxhash.xxh3_64_intdigest(word)
-    stems = [xxhash.xxh3_64_intdigest(word[:k], k) % BUCKETS for k in STEMS if len(word) >= k]
-    return [h % BUCKETS, (h >> 32) * 0x9E3779B1 % BUCKETS, *stems]
+#: An odd factor and its inverse modulo 2 ** 64, for hashes of substrings from one running sum.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+def powers(base, n):
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def mixed(h, salt):
+    h = (h ^ np.uint64(salt * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def buckets_of(vocabulary):
+    """The rows of the hashed table of each word of an Arrow array: two of the word, one of each stem; BUCKETS where there is none.
+
+    Hashes of words and of their first letters are differences of one running sum over all bytes.
+    """
+    n = len(vocabulary)
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset : vocabulary.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(vocabulary.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(FACTOR, len(data)), out=sums[1:])
+    back = powers(INVERSE, len(data) + 1)[offsets[:-1]]
+    part = lambda end: (sums[end] - sums[offsets[:-1]]) * back
+    letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    first = np.searchsorted(letters, offsets)
+    size = np.diff(first)
+    out = np.full((n, 2 + len(STEMS)), BUCKETS, np.int64)
+    whole = mixed(part(offsets[1:]), 0)
+    for k, h in enumerate((whole, mixed(whole, 1))):
+        out[:, k] = np.where(size > 0, (h % np.uint64(BUCKETS)).astype(np.int64), BUCKETS)
+    for k, stem in enumerate(STEMS, 2):
+        end = letters[np.minimum(first[:-1] + stem, first[1:])]
+        out[:, k] = np.where(size >= stem, (mixed(part(end), stem) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS)
+    return out
 
 
 def sigmoid(x):
@@ -79,12 +115,8 @@ def fit(rows, seed=5):
     if len(set(y.tolist())) < 2:
         return None
     codes, offsets, vocabulary = words(pa.array([r[0] for r in rows], pa.string()))
-    # code 0 is padding; so are the stems that a word is too short for
-    parts = np.full((len(vocabulary), 2 + len(STEMS)), BUCKETS, np.int64)
-    for i, w in enumerate(vocabulary):
-        if w:
-            own = buckets_of(w)
-            parts[i, : len(own)] = own
+    # code 0, the empty word, is padding; so are the stems that a word is too short for
+    parts = buckets_of(vocabulary)
     used, local = np.unique(parts, return_inverse=True)  # only rows that the sample touches are trained
     local = local.reshape(parts.shape)
     held = np.arange(len(rows)) < HELD_OUT * len(rows)
@@ -174,58 +206,43 @@ def threshold(p, y):
 
 
 class Scorer:
+    """Scores batches. A bucket that training never met adds nothing."""
+
     def __init__(self, model):
         self.model = model
-        self.place = {int(b): i for i, b in enumerate(model["used"])}
-        self.clear()
-
-    def clear(self):
-        self.index = {"": 0}
-        self.flat = np.zeros((1024, sum(w * FILTERS for w in WIDTHS)), np.float32)
-
-    def table(self, vocabulary):
-        """Responses of the distinct words of a batch; a bucket that training never met adds nothing."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        index, emb, place = self.index, self.model["emb"], self.place
-        at, new, vectors = np.empty(len(vocabulary), np.int64), [], []
-        for k, w in enumerate(vocabulary):
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(index)
-                hit = [j for b in buckets_of(w) if (j := place.get(b)) is not None]
-                if hit:
-                    new.append(i)
-                    vectors.append(emb[hit].sum(axis=0))
-            at[k] = i
-        while len(index) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if new:
-            self.flat[new] = np.concatenate([r.transpose(1, 0, 2).reshape(len(new), -1) for r in responses(self.model, np.array(vectors))], axis=1)
-        return self.flat[at]
+        self.place = np.full(BUCKETS + 1, len(model["used"]), np.int32)
+        self.place[model["used"]] = np.arange(len(model["used"]))
+        self.emb = np.concatenate([model["emb"], np.zeros((1, DIM), np.float32)])
+
+    def vectors(self, vocabulary):
+        rows, out = self.place[buckets_of(vocabulary)], np.zeros((len(vocabulary), DIM), np.float32)
+        for k in range(rows.shape[1]):
+            out += self.emb[rows[:, k]]
+        return out
 
     def scores(self, texts):
+        """The probability of each text; 0 for those without words. A distinct word's responses are computed once a step."""
         out = np.zeros(len(texts))
         for a, b in byte_slices(texts):
             codes, offsets, vocabulary = words(texts.slice(a, b - a))
-            flat, n = self.table(vocabulary), len(codes)
-            full = np.flatnonzero(np.diff(offsets))
+            size = np.diff(offsets)
+            full = np.flatnonzero(size)
             if not len(full):
                 continue
-            total, start = np.zeros(len(full)), 0
-            for k, width in enumerate(WIDTHS):
-                r = flat[:, start : start + FILTERS][codes]
-                for j in range(1, width):
-                    # positions past the end of a text count as padding, as in training
-                    t = flat[:, start + j * FILTERS : start + (j + 1) * FILTERS][codes[j:]]
-                    last = np.zeros(n, bool)
-                    for q in range(j):
-                        ends = offsets[1:][full] - 1 - q
-                        last[ends[ends >= offsets[:-1][full]]] = True
-                    r[: n - j][~last[: n - j]] += t[~last[: n - j]]
-                z = np.maximum.reduceat(r, offsets[:-1][full], axis=0) + self.model["bias"][k]
+            # padding after each text, so that a filter never reaches into the next one
+            gap = max(WIDTHS) - 1
+            start = offsets[:-1][full] + gap * np.arange(len(full))
+            padded = np.zeros(len(codes) + gap * len(full), np.intp)
+            padded[np.arange(len(codes)) + gap * np.repeat(np.arange(len(full)), size[full])] = codes
+            ends = np.stack([start, start + size[full]], axis=1).ravel()
+            vectors = self.vectors(vocabulary)
+            total = np.zeros(len(full))
+            for k, filters in enumerate(self.model["filters"]):
+                r = (vectors @ filters[0]).take(padded, axis=0)
+                for j in range(1, len(filters)):
+                    r[:-j] += (vectors @ filters[j]).take(padded[j:], axis=0)
+                z = np.maximum.reduceat(r, ends, axis=0)[::2] + self.model["bias"][k]
                 total += np.maximum(z, 0) @ self.model["out"][k * FILTERS : (k + 1) * FILTERS]
-                start += width * FILTERS
             out[a + full] = sigmoid(total + self.model["c"][0])
         return out
 

@@ -1,7 +1,6 @@
-"""Vectorised tokenisation of Arrow text batches, deterministic samples of labelled rows, and written cuts of lineage."""
+"""Vectorised tokenisation of Arrow text batches, and deterministic samples of labelled rows."""
 
 import ctypes
-import re
 import sys
 import tempfile
 import uuid
@@ -12,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-NOT_WORD = re.compile(r"[\W_]+")
+#: What isn't a letter or digit, for Arrow's regular expressions.
+NOT_WORD = r"[^\pL\pN]+"
 
 #: Bytes of text that one vectorised step works on; longer texts form a step of their own.
 STEP_BYTES = 1 << 20
@@ -47,28 +47,33 @@ def byte_slices(texts, limit=STEP_BYTES):
 
 
 def raw_tokens(texts):
-    """Whitespace tokens of a text array: codes, row offsets, distinct tokens. Null counts as empty."""
+    """Whitespace tokens of a text array: codes, row offsets, distinct tokens as an Arrow array. Null counts as empty."""
     lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary
 
 
-def bare(token):
-    """A token in lower case without anything but letters and digits."""
-    token = token.lower()
-    return token if token.isalnum() else NOT_WORD.sub("", token)
+def bare(tokens):
+    """An array of tokens in lower case without anything but letters and digits."""
+    low = pc.utf8_lower(tokens)
+    odd = pc.invert(pc.utf8_is_alnum(low))
+    return pc.replace_with_mask(low, odd, pc.replace_substring_regex(low.filter(odd), NOT_WORD, "")) if pc.any(odd).as_py() else low
 
 
 def words(texts):
-    """Words of a text array: codes, row offsets, distinct words. Tokens without letter or digit are dropped."""
+    """Words of a text array: codes, row offsets, distinct words as an Arrow array. Tokens without letter or digit are dropped.
+
+    Code 0 is the empty word, which no row has.
+    """
     codes, offsets, raw = raw_tokens(texts)
-    index = {"": 0}
-    remap = np.fromiter((index.setdefault(bare(w), len(index)) for w in raw), np.int64, len(raw))
+    coded = bare(raw).dictionary_encode()
+    nothing = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    remap = np.where(nothing, 0, np.arange(1, len(nothing) + 1))[coded.indices.to_numpy(zero_copy_only=False)]
     codes = remap[codes] if len(codes) else np.zeros(0, np.int64)
     keep = codes > 0
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return codes[keep], kept[offsets], list(index)
+    return codes[keep], kept[offsets], pa.concat_arrays([pa.array([""], coded.dictionary.type), coded.dictionary])
 
 
 def segment_sum(values, offsets):
