@@ -143,8 +143,7 @@ def identifier(spark, model, min_known=MIN_KNOWN, min_margin=MIN_MARGIN):
 
 def fit_on(docs, fit_docs=FIT_DOCS, id_col="doc_id", text_col="text", lang_col="lang"):
     """The model of the bounded labelled sample of ``docs``."""
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    return fit(labelled_sample(docs, id_col, text_col, labelled, fit_docs))
+    return fit(labelled_sample(docs, id_col, text_col, fit_docs, own=lang_col))
 
 
 def identify(df, model, id_col="doc_id", text_col="text"):

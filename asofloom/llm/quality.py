@@ -29,7 +29,7 @@ _DIGITS = re.compile(r"\d+")
 def shape(token):
     """What a token looks like: its letters as x, X or Xx, digits as 0, other signs as they are."""
     letters = lambda m: "X" if m[0].isupper() else "x" if m[0].islower() else "Xx"
-    return _DIGITS.sub("0", _LETTERS.sub(letters, token))[:12]
+    return _DIGITS.sub("0", _LETTERS.sub(letters, token))
 
 
 def mix(a, b):
@@ -148,8 +148,8 @@ def scorer(spark, model):
 
 def fit_on(docs, labels, fit_docs=FIT_DOCS, id_col="doc_id", text_col="text", label_col="quality"):
     """The model of a bounded sample of the labelled documents; labels that contradict each other count as bad."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).na.drop().groupBy("i").agg(F.min("y").alias("y"))
-    return fit(labelled_sample(docs, id_col, text_col, known, fit_docs))
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    return fit(labelled_sample(docs, id_col, text_col, fit_docs, labels=known, contradiction=F.min))
 
 
 def quality(df, model, id_col="doc_id", text_col="text"):

@@ -18,7 +18,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import byte_slices, words, written
+from ..sources.scratch import written
+from .words import byte_slices, words
 
 BITS = 128
 RADIUS = 15

@@ -265,9 +265,8 @@ def marker(spark, model):
 
 def fit_on(docs, labels, fit_docs=FIT_DOCS, id_col="doc_id", text_col="text", lang_col="lang", label_col="toxic"):
     """The model of a bounded sample of the labelled documents; labels that contradict each other count as toxic."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).na.drop().groupBy("i").agg(F.max("y").alias("y"))
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")).join(known, "i")
-    return fit(labelled_sample(docs, id_col, text_col, labelled, fit_docs))
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    return fit(labelled_sample(docs, id_col, text_col, fit_docs, own=lang_col, labels=known))
 
 
 def toxicity(df, model, id_col="doc_id", text_col="text", lang_col="lang"):

@@ -2,8 +2,6 @@
 
 import ctypes
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: What isn't a letter or digit, for Arrow's regular expressions.
 NOT_WORD = r"[^\pL\pN]+"
 
@@ -85,40 +85,75 @@ def segment_sum(values, offsets):
     return out
 
 
-def labelled_sample(docs, id_col, text_col, labelled, per_stratum):
-    """At most ``per_stratum`` documents of each combination of labels, chosen by a hash of the id: the same whatever the partitioning.
+#: Strata (combinations of labels) that a sample is drawn from, the most frequent ones, and bytes of text that it has at most.
+MAX_STRATA, SAMPLE_BYTES = 256, 128 << 20
+#: Hashes of ids are compared in this many bits.
+HASH_BITS = 53
 
-    ``labelled`` has an id column ``i`` and one column for each label. Rows with a null id, text or label are left out. The choice reads
-    ids and labels only; texts are fetched for the chosen ids alone, through a broadcast whose size the bound fixes. Returns a list of
-    (text, label...) rows, ordered by id.
-    """
-    labels = [c for c in labelled.columns if c != "i"]
-    chosen = (
-        labelled.na.drop()
-        .dropDuplicates(["i"])
-        .withColumn("k", F.row_number().over(Window.partitionBy(*labels).orderBy(F.xxhash64("i"), "i")))
-        .where(F.col("k") <= per_stratum)
-        .drop("k")
-    )
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    rows = texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]).toArrow().sort_by("i")
-    out = list(zip(*[rows.column(c).to_pylist() for c in ("t", *labels)], strict=True))
-    del rows
-    trim()
-    return out
+
+def hashed(column):
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - HASH_BITS)
+
+
+def thresholds(counts, want):
+    """{label: hash below which about twice ``want`` of its rows lie}; labels of few rows are taken whole."""
+    return {k: (1 << HASH_BITS) if n <= 2 * want else int((2 * want + 64) / (n + 64) * (1 << HASH_BITS)) for k, n in counts.items()}
 
 
-def shared_folder(spark):
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in local tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named or sys.__dict__.setdefault("_asofloom_scratch", tempfile.mkdtemp(prefix="asofloom-"))
+def below(label, cuts):
+    """Whether the hash ``h`` of a row is below the threshold of its label."""
+    found = F.lit(0).cast("long")
+    for k, cut in cuts.items():
+        found = F.when(label == F.lit(k), F.lit(cut)).otherwise(found)
+    return F.col("h") < found
 
 
-def written(df):
-    """``df`` as a Parquet table in the shared folder: computed once, safe against the loss of executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/asofloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def frequent(df, label, most):
+    rows = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col(label).isNotNull()).orderBy(F.desc("n"), label).limit(most).collect()
+    return {r[0]: r[1] for r in rows}
+
+
+def labelled_sample(docs, id_col, text_col, per_stratum, own=None, labels=None, contradiction=F.max, max_strata=MAX_STRATA, max_bytes=SAMPLE_BYTES):
+    """At most ``per_stratum`` documents of each stratum, those of the smallest hash of the id: the same whatever the partitioning.
+
+    The strata are the values of the column ``own`` of ``docs``, of a table ``labels`` (i, y), or both; they need not have so many documents.
+    Rows with a null id, text or label are left out. Labels of one id that differ are made one by ``contradiction``; of rows that repeat an
+    id the least own label and the least text count. Only the ``max_strata`` most frequent values of ``own`` have strata. Texts are taken in
+    the order of their hashes until ``max_bytes`` are reached.
+
+    Thresholds of the hash come from the counts of labels, so a map-side filter leaves about twice the sample before anything is shuffled.
+    With ``labels`` the first filter leaves for each y about as many as all strata of a y may have. Returns (text, label...) rows.
+    """
+    base = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *([F.col(own).alias("l")] if own else [])).where("i is not null").withColumn("h", hashed("i"))
+    strata = frequent(base, "l", max_strata) if own else {}
+    keys = [*(["l"] if own else []), *(["y"] if labels is not None else [])]
+    if labels is not None:
+        known = labels.where("i is not null and y is not null").withColumn("h", hashed("i"))
+        want = per_stratum * max(1, len(strata)) * (4 if own else 1)
+        cuts = thresholds(frequent(known, "y", max_strata), want)
+        if not cuts:
+            return []
+        # all labels of an id, or none, reach the grouping that makes them one
+        known = known.where(F.col("h") < max(cuts.values())).groupBy("i").agg(contradiction("y").alias("y"), F.first("h").alias("h")).where(below(F.col("y"), cuts))
+        top = Window.partitionBy("y").orderBy("h", "i")
+        known = known.withColumn("k", F.row_number().over(top)).where(F.col("k") <= 2 * want).select("i", "y")
+        rows = base.drop("t").join(F.broadcast(known), "i")
+    else:
+        rows = base.drop("t").where(below(F.col("l"), thresholds(strata, per_stratum)))
+    least = rows.groupBy("i").agg(*(F.min(c).alias(c) for c in keys), F.first("h").alias("h")).na.drop()
+    if own:
+        least = least.where(F.col("l").isin(list(strata)))
+    chosen = least.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "i"))).where(F.col("k") <= per_stratum).drop("k")
+    there = base.drop("h").where("t is not null")
+    texts = there.join(F.broadcast(chosen), ["i", *(["l"] if own else [])]).groupBy("i", *keys, "h").agg(F.min("t").alias("t"))
+    texts = written(texts)  # bounded in rows; now in bytes, before anything reaches the driver
+    run = F.sum(F.octet_length("t")).over(Window.orderBy("h", "i").rowsBetween(Window.unboundedPreceding, 0))
+    within = texts.select("i", "h", run.alias("run")).where(F.col("run") <= max_bytes).select("i")
+    got = texts.join(F.broadcast(within), "i").toArrow().sort_by("i")
+    out = list(zip(*[got.column(c).to_pylist() for c in ("t", *keys)], strict=True))
+    del got
+    trim()
+    return out
 
 
 def struct_array(columns):
