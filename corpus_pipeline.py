@@ -8,7 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from asofloom.llm import decontam, langid, packing, simhash, token_counts, toxicity
-from asofloom.llm.words import written
+from asofloom.sources.scratch import written
 
 TOKENIZERS = os.environ.get("ASOFLOOM_TOKENIZERS", "/opt/tokenizers")
 
