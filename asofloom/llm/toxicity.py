@@ -76,23 +76,22 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def convolve(table, codes):
-    """Rectified maxima over positions of the filters; and where they were. table: for each width, (width, words, filters) responses."""
-    pooled, at = [], []
-    for width, t in zip(WIDTHS, table, strict=True):
-        padded = np.concatenate([codes, np.zeros(width - 1, codes.dtype)]) if width > 1 else codes
-        n = len(codes)
-        r = t[0][padded[:n]]
-        for j in range(1, width):
-            r = r + t[j][padded[j : j + n]]
-        k = r.argmax(axis=0)
-        pooled.append(r[k, np.arange(r.shape[1])])
-        at.append(k)
-    return pooled, at
+def spread(codes, offsets):
+    """(codes with padding after each of the texts, so that no filter reaches into the next; start and end of each). No text is empty."""
+    gap, n = max(WIDTHS) - 1, len(offsets) - 1
+    size = np.diff(offsets)
+    start = offsets[:-1] + gap * np.arange(n)
+    padded = np.zeros(len(codes) + gap * n, np.intp)
+    padded[np.arange(len(codes)) + gap * np.repeat(np.arange(n), size)] = codes
+    return padded, start, start + size
 
 
-def responses(model, vectors):
-    return [np.einsum("vd,jdf->jvf", vectors, f) for f in model["filters"]]
+def convolved(vectors, filters, padded):
+    """Responses of the filters of one width at every position; a distinct word's part is computed once."""
+    r = (vectors @ filters[0]).take(padded, axis=0)
+    for j in range(1, len(filters)):
+        r[:-j] += (vectors @ filters[j]).take(padded[j:], axis=0)
+    return r
 
 
 class Adam:
@@ -122,7 +121,8 @@ def fit(rows, seed=5):
     held = np.arange(len(rows)) < HELD_OUT * len(rows)
     docs = [codes[offsets[i] : offsets[i + 1]] for i in range(len(rows))]
     emb = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
-    emb[used == BUCKETS] = 0
+    nothing, met = np.flatnonzero(used == BUCKETS), np.zeros(len(used), bool)
+    emb[nothing] = 0
     model = {"filters": [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], "bias": [np.zeros(FILTERS, np.float32) for _ in WIDTHS], "out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
     params = [emb, *model["filters"], *model["bias"], model["out"], model["c"]]
     adam = [Adam(p) for p in params]
@@ -137,51 +137,42 @@ def fit(rows, seed=5):
             if vocab[0] != 0:
                 vocab, inverse = np.concatenate([[0], vocab]), inverse + 1
             rows_of = local[vocab]
-            vectors = emb[rows_of].sum(axis=1)
+            vectors = sum(emb[rows_of[:, k]] for k in range(rows_of.shape[1]))
             vectors[0] = 0
-            t = responses(model, vectors)
             grads = [np.zeros_like(p) for p in params[1:]]
             gv = np.zeros_like(vectors)
-            at = 0
-            for i in batch:
-                own = inverse[at : at + len(docs[i])]
-                at += len(docs[i])
-                pooled, where = convolve(t, own)
-                z = np.concatenate([p + b for p, b in zip(pooled, model["bias"], strict=True)])
-                a = np.maximum(z, 0)
-                keep = (rng.random(len(a)) > 0.2) / 0.8  # dropout: no single filter decides
-                p = sigmoid(a * keep @ model["out"] + model["c"][0])
-                d = (p - y[i]) * balance[i] / len(batch)
-                grads[-2] += d * a * keep
-                grads[-1] += d
-                dz = d * model["out"] * keep * (z > 0)
-                for k, width in enumerate(WIDTHS):
-                    g = dz[k * FILTERS : (k + 1) * FILTERS]
-                    if not g.any():
-                        continue
-                    grads[len(WIDTHS) + k] += g
-                    for j in range(width):
-                        pos = where[k] + j
-                        ok = pos < len(own)
-                        w = np.where(ok, own[np.minimum(pos, len(own) - 1)], 0)
-                        grads[k][j] += (vectors[w] * g[:, None]).T
-                        np.add.at(gv, w, g[:, None] * model["filters"][k][j].T)
+            padded, begin, end = spread(inverse, np.concatenate([[0], np.cumsum([len(docs[i]) for i in batch])]))
+            rs = [convolved(vectors, f, padded) for f in model["filters"]]
+            where = np.array([np.concatenate([s + r[s:e].argmax(axis=0) for r in rs]) for s, e in zip(begin, end, strict=True)])
+            z = np.concatenate([np.take_along_axis(r, w, axis=0) for r, w in zip(rs, np.split(where, len(WIDTHS), axis=1), strict=True)], axis=1) + np.concatenate(model["bias"])
+            keep = (rng.random(z.shape) > 0.2) / 0.8  # dropout: no single filter decides
+            act = np.maximum(z, 0) * keep
+            d = (sigmoid(act @ model["out"] + model["c"][0]) - y[batch]) * balance[batch] / len(batch)
+            grads[-2] += d @ act
+            grads[-1] += d.sum()
+            dz = d[:, None] * model["out"] * keep * (z > 0)
+            for k, width in enumerate(WIDTHS):
+                g, at = dz[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
+                grads[len(WIDTHS) + k] += g.sum(axis=0)
+                for j in range(width):
+                    w = padded[at + j]
+                    grads[k][j] += np.einsum("bfd,bf->df", vectors[w], g)
+                    np.add.at(gv, w, g[:, :, None] * model["filters"][k][j].T)
             gv[0] = 0
-            touched, back = np.unique(rows_of, return_inverse=True)
-            ge = np.zeros((len(touched), DIM), np.float32)
-            back = back.reshape(rows_of.shape)
-            moving = np.abs(gv).sum(1) > 0
+            moving = np.flatnonzero(np.abs(gv).sum(1) > 0)
+            e, back = np.unique(rows_of[moving], return_inverse=True)
+            back, ge = back.reshape(len(moving), -1), np.zeros((len(e), DIM), np.float32)
             for k in range(back.shape[1]):
-                np.add.at(ge, back[moving, k], gv[moving])
-            # rows without gradient shrink to 0 as well, so that words that tell nothing add nothing
-            moved = np.abs(ge).sum(1) > 0
-            e = touched[moved]
+                np.add.at(ge, back[:, k], gv[moving])
             a0 = adam[0]
-            a0.m[e] += 0.1 * (ge[moved] - a0.m[e])
-            a0.v[e] += 0.05 * (ge[moved] ** 2 - a0.v[e])
+            a0.m[e] += 0.1 * (ge - a0.m[e])
+            a0.v[e] += 0.05 * (ge**2 - a0.v[e])
             emb[e] -= rate * a0.m[e] / (np.sqrt(a0.v[e]) + 1e-4)
-            emb[touched] *= 1 - 20 * rate * DECAY
-            emb[used == BUCKETS] = 0
+            # rows without gradient shrink to 0 as well, so that words that tell nothing add nothing
+            met[:] = False
+            met[rows_of] = True
+            emb[met] *= 1 - 20 * rate * DECAY
+            emb[nothing] = 0
             for x, g, own in zip(params[1:], grads, adam[1:], strict=True):
                 own.step(x, g + DECAY * x * (x.ndim > 1), rate)
     model["used"], model["emb"] = used[used < BUCKETS], emb[used < BUCKETS]
@@ -229,19 +220,12 @@ class Scorer:
             full = np.flatnonzero(size)
             if not len(full):
                 continue
-            # padding after each text, so that a filter never reaches into the next one
-            gap = max(WIDTHS) - 1
-            start = offsets[:-1][full] + gap * np.arange(len(full))
-            padded = np.zeros(len(codes) + gap * len(full), np.intp)
-            padded[np.arange(len(codes)) + gap * np.repeat(np.arange(len(full)), size[full])] = codes
-            ends = np.stack([start, start + size[full]], axis=1).ravel()
+            padded, start, end = spread(codes, np.append(offsets[:-1][full], offsets[-1]))
+            ends = np.stack([start, end], axis=1).ravel()
             vectors = self.vectors(vocabulary)
             total = np.zeros(len(full))
             for k, filters in enumerate(self.model["filters"]):
-                r = (vectors @ filters[0]).take(padded, axis=0)
-                for j in range(1, len(filters)):
-                    r[:-j] += (vectors @ filters[j]).take(padded[j:], axis=0)
-                z = np.maximum.reduceat(r, ends, axis=0)[::2] + self.model["bias"][k]
+                z = np.maximum.reduceat(convolved(vectors, filters, padded), ends, axis=0)[::2] + self.model["bias"][k]
                 total += np.maximum(z, 0) @ self.model["out"][k * FILTERS : (k + 1) * FILTERS]
             out[a + full] = sigmoid(total + self.model["c"][0])
         return out
