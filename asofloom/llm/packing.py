@@ -131,8 +131,8 @@ def pack(df, window=WINDOW, grid=GRID, depth=DEPTH, id_col="doc_id", text_col="t
     if window % grid:
         raise ValueError("the window must be a multiple of the grid")
     tokens = F.ceil(F.octet_length(F.col(text_col)) / BYTES_PER_TOKEN) if length is None else length
-    # written once: tokens are dear, and ranges, ranks and counts must speak of the same rows
-    sized = written(df.select(F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n")).where("n > 0"))
+    # written once, before the filter, as that would count all tokens a second time
+    sized = written(df.select(F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n"))).where("n > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long")))
     cut = sized.select("doc_id", "n", starts.alias("start")).select("doc_id", "start", F.least(F.lit(window), F.col("n") - F.col("start")).cast("long").alias("length"))
     cut = cut.withColumn("size", F.ceil(F.col("length") * grid / window).cast("int"))
