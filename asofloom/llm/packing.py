@@ -6,11 +6,13 @@ first. All of it works on the histogram, whose size doesn't depend on the data;
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import written
-from .sharding import range_bucket
+from .sharding import RANGE_ROWS, in_ranges
 
 #: Tokens of a window, and steps of the length grid in it.
 WINDOW, GRID = 2048, 128
@@ -120,36 +122,47 @@ def slots(patterns):
     return rows
 
 
-def pack(df, window=WINDOW, grid=GRID, depth=DEPTH, id_col="doc_id", text_col="text", length=None, buckets=64):
+def pack(df, window=WINDOW, grid=GRID, depth=DEPTH, id_col="doc_id", text_col="text", length=None, range_rows=RANGE_ROWS):
     """Rows (doc_id, start, length, pack_id, slot): pieces of documents and the windows that they go to.
 
     ``length`` is a Column with a document's tokens; by default its UTF-8 bytes over BYTES_PER_TOKEN, rounded up. A document longer than
     the window is cut into whole windows and a rest, ``start`` being a piece's first token. Every token is in one piece, each piece in one
     pack, and no pack holds more than the window. Null and empty texts have no pieces. Rows that repeat an id are packed each for itself;
-    a null id is kept. An empty table gives an empty result. Other columns are neither read nor returned.
+    a null id is kept. An empty table gives an empty result. Other columns are neither read nor returned. Pieces of a size are placed in
+    the order of (doc_id, start, length), null ids first, so the result doesn't depend on the partitioning.
     """
     if window % grid:
         raise ValueError("the window must be a multiple of the grid")
+    spark = df.sparkSession
     tokens = F.ceil(F.octet_length(F.col(text_col)) / BYTES_PER_TOKEN) if length is None else length
     # written once, before the filter, as that would count all tokens a second time
     sized = written(df.select(F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n"))).where("n > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long")))
     cut = sized.select("doc_id", "n", starts.alias("start")).select("doc_id", "start", F.least(F.lit(window), F.col("n") - F.col("start")).cast("long").alias("length"))
     cut = cut.withColumn("size", F.ceil(F.col("length") * grid / window).cast("int"))
-    cut = written(cut.withColumn("b", range_bucket(sized, "doc_id", buckets)))
-    counts = cut.groupBy("size", "b").agg(F.count("*").alias("n"))
+
+    def ranks(batches):
+        seen = np.zeros(grid + 1, np.int64)
+        for b in batches:
+            size = b.column("size").to_numpy()
+            order = np.argsort(size, kind="stable")
+            first = np.searchsorted(size[order], np.arange(grid + 2))
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) - first[size[order]] + seen[size[order]]
+            seen += np.diff(first)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank)], names=[*b.schema.names, "rank"])
+
+    pieces = int(sized.agg(F.coalesce(F.sum(F.ceil(F.col("n") / window)), F.lit(0))).first()[0])
+    ranged = in_ranges(cut, ["doc_id", "start", "length"], pieces, range_rows)
+    local = written(ranged.mapInArrow(ranks, T.StructType([*ranged.schema.fields, T.StructField("rank", T.LongType())])))
+    counts = written(local.groupBy("p", "size").agg(F.count("*").alias("n")))
     histogram = np.zeros(grid + 1, np.int64)
-    seen = counts.collect()  # at most grid x buckets rows
-    base, run = [], {}
-    for r in sorted(seen, key=lambda r: (r["size"], r["b"])):
-        base.append((r["size"], r["b"], run.get(r["size"], 0)))
-        run[r["size"]] = run.get(r["size"], 0) + r["n"]
-        histogram[r["size"]] += r["n"]
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(base, "size int, b int, base long")
-    plan = spark.createDataFrame(slots(recipe(histogram, grid, depth)) if base else [], "size int, lo long, hi long, pack long, slot int")
-    w = Window.partitionBy("size", "b").orderBy(F.col("doc_id").asc_nulls_first(), "start", "length")
-    # both tables are of a size that grid, depth and buckets bound
-    ranked = cut.join(F.broadcast(offsets), ["size", "b"]).withColumn("rank", F.col("base") + F.row_number().over(w) - 1)
+    for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect():  # at most grid rows
+        histogram[r["size"]] = r["n"]
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("p", "size", F.coalesce(before, F.lit(0)).alias("base"))
+    plan = spark.createDataFrame(slots(recipe(histogram, grid, depth)) if histogram.any() else [], "size int, lo long, hi long, pack long, slot int")
+    ranked = local.join(base, ["p", "size"]).withColumn("rank", F.col("base") + F.col("rank"))
+    # grid and depth bound the number of patterns, and with it this table
     placed = ranked.join(F.broadcast(plan), (ranked["size"] == plan["size"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "start", "length", (F.col("pack") + F.col("rank") - F.col("lo")).alias("pack_id"), "slot")

@@ -57,7 +57,7 @@ def test_token_counts_are_those_of_whole_texts(spark, docs, odd):
 
 
 def test_shards_with_nulls_and_repeats(odd):
-    rows = sorted((r["doc_id"] or 0, r["start_byte"], r["n_bytes"], r["shard"]) for r in sharding.shards(odd, 4, buckets=3).collect())
+    rows = sorted((r["doc_id"] or 0, r["start_byte"], r["n_bytes"], r["shard"]) for r in sharding.shards(odd, 4, range_rows=3).collect())
     assert len(rows) == 10 and sum(r[2] for r in rows) == max(r[1] + r[2] for r in rows)
     run = 0
     for _, start, size, _ in sorted(rows, key=lambda r: (r[0], r[1])):
