@@ -142,20 +142,37 @@ def test_toxicity_edge_cases(odd, docs, labels):
 # ---- 6
 
 
+def nearest_by_brute_force(v, k, every=1):
+    want = []
+    for i in range(0, len(v), every):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        order = sorted((d[j], j) for j in range(len(v)) if j != i)[:k]
+        want += [(i, r + 1, j, round(dist, 6)) for r, (dist, j) in enumerate(order)]
+    return want
+
+
 def test_top_k_with_ties_nulls_and_repeats(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(0, 3, (300, 4)).astype(float)
+    v[100:220] = v[100]  # a hot group of equal vectors
+    v[5] = -0.0
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
     bad = [(0, [9.0] * 4, 1), (None, [1.0] * 4, 1), (900, None, 1), (901, [1.0], 1), (902, [float("nan")] * 4, 1), (903, [None] * 4, 1), (904, [], 1)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int")
-    want = []
-    for i in range(300):
-        d = np.sqrt(((v - v[i]) ** 2).sum(1))
-        order = sorted((round(d[j], 6), j) for j in range(300) if j != i)[:5]
-        want += [(i, k + 1, j, dist) for k, (dist, j) in enumerate(order)]
-    got = sorted(tuple(r) for r in topk.top_k(df, 5, cell_rows=40).collect())
-    assert got == sorted(want)
-    assert topk.top_k(df.where("vec_id = 5")).count() == 0 and topk.top_k(df.where("false")).count() == 0
+    got = sorted(tuple(r) for r in topk.top_k(df, 5, every=1, cell_rows=40, range_rows=20).collect())
+    assert got == sorted(nearest_by_brute_force(v, 5))
+    several = sorted(tuple(r) for r in topk.top_k(df, 5, every=3, cell_rows=40, block_bytes=500).collect())
+    assert several == sorted(nearest_by_brute_force(v, 5, 3))
+    assert topk.top_k(df.where("vec_id = 5"), every=5).count() == 0 and topk.top_k(df.where("false")).count() == 0
+    with pytest.raises(TypeError):
+        topk.top_k(df.withColumn("vec_id", F.lit("a")))
+
+
+def test_top_k_where_bounds_prune(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(c, 0.1, (100, 3)) for c in rng.normal(0, 1000, (12, 3))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, 7, every=4, cell_rows=30).collect()) == sorted(nearest_by_brute_force(v, 7, 4))
 
 
 # ---- 7
