@@ -26,12 +26,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks inside these are bad whatever their text.
 FURNITURE = frozenset("nav footer aside form select menu".split())
 
-#: From <head> to its end tag or, where that is left out, to the first text or tag that can't stand in a head.
-_HEAD = r"""<head(?=[\s/>])[^>]*>(?>\s+|<!--.*?(?:-->|\Z)|<![^>]*>|<(script|style|noscript|template)\b.*?(?:</\2\s*>|\Z)|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)|</?(?:meta|link|base|basefont|bgsound)\b(?>[^>"']|"[^"]*"|'[^']*'|["'])*+>)*+(?:</head\s*>)?"""
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|" + _HEAD + r"|<![^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>")
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+#: Elements of which nothing is shown, and what may stand in a head besides them and its title.
+HIDDEN = frozenset("script style noscript template svg".split())
+HEAD_TAGS = frozenset("meta link base basefont bgsound".split())
+
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9]*))")
+#: The rest of a tag: up to its >, or to the next < where it has none. Possessive, and an unclosed quote is a sign like others: no step back.
+_REST = re.compile(r"""(?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+""")
+_LANG = re.compile(r"""(?<![\w-])lang\s*=\s*["']?([a-zA-Z]{2})""", re.I)
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in (*HIDDEN, "title")}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,10 +44,49 @@ ALL_STOP_WORDS = frozenset().union(*SETS.values())
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.IntegerType()), T.StructField("good", T.IntegerType())])
 
 
+def tokens_of(html):
+    """(text before, tag name or None, whether an end tag, attributes) along a page, without comments, hidden elements and the head.
+
+    A head without end tag ends at the first text or tag that can't stand in one. Every step goes on from where the last one ended, so the
+    time is in proportion to the page, whatever is left open in it.
+    """
+    at, n, head, untitled = 0, len(html), False, False
+    while m := _OPEN.search(html, at):
+        before, at, name = html[at : m.start()], m.end(), m[2]
+        head = head and not before.strip()
+        if name is None:
+            end = html.find("-->" if m[0] == "<!--" else ">", at)
+            at = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
+            yield before, None, False, ""
+            continue
+        name, closing = name.lower(), bool(m[1])
+        end = _REST.match(html, at).end()
+        rest, at = html[at:end], end + html.startswith(">", end)
+        if not closing and name in HIDDEN:
+            m = _CLOSE[name].search(html, at)
+            end = html.find(">", m.end()) if m else -1
+            at = n if end < 0 else end + 1
+            yield before, None, False, ""
+        elif head and name == "title" and not closing:
+            m = None if untitled else _CLOSE[name].search(html, at)
+            untitled = m is None  # then there is none further on either
+            at = html.find("<" if untitled else ">", m.end() if m else at)
+            at = n if at < 0 else at + (not untitled)
+            yield before, None, False, ""
+        elif head and name in HEAD_TAGS:
+            yield before, None, False, ""
+        elif name == "head":
+            head = not closing
+            yield before, None, False, ""
+        else:
+            head = False
+            yield before, name, closing, rest
+    yield html[at:], None, False, ""
+
+
 def blocks_of(html):
-    """(text, characters in links, heading, furniture) of each block that has text."""
-    out, text, linked, link, heading, furniture, at = [], [], 0, 0, False, 0, 0
-    cleaned = _HIDDEN.sub(" ", html)
+    """((text, characters in links, heading, furniture) of each block that has text, the page's language or None)."""
+    out, text, linked, link, heading, furniture, language = [], [], 0, 0, False, 0, None
 
     def close():
         nonlocal text, linked
@@ -53,19 +95,15 @@ def blocks_of(html):
             out.append((whole, min(linked, len(whole)), heading, furniture > 0))
         text, linked = [], 0
 
-    def add(piece):
-        nonlocal linked
+    for piece, name, closing, rest in tokens_of(html):
         if piece:
             piece = entities.unescape(piece)
             text.append(piece)
             if link:
                 linked += len(_SPACE.sub(" ", piece).strip())
-
-    for m in _TAG.finditer(cleaned):
-        add(cleaned[at : m.start()])
-        at = m.end()
-        name, closing = m[2].lower(), bool(m[1])
-        if name == "a":
+        if name is None:
+            text.append(" ")
+        elif name == "a":
             link = max(0, link - 1) if closing else 1
         elif name in BLOCK_TAGS:
             close()
@@ -73,9 +111,10 @@ def blocks_of(html):
                 heading = not closing
             elif name in FURNITURE:
                 furniture = max(0, furniture + (-1 if closing else 1))
-    add(cleaned[at:])
+            elif name == "html" and language is None and (m := _LANG.search(rest)):
+                language = m[1].lower()
     close()
-    return out
+    return out, language
 
 
 def first_pass(block, stop):
@@ -123,9 +162,8 @@ def second_pass(labels):
 
 def extract_page(html):
     """(main text with a line for each block, number of blocks, number of good blocks) of a page."""
-    m = _LANG.search(_COMMENT.sub(" ", html))
-    stop = SETS.get(m[1].lower(), ALL_STOP_WORDS) if m else ALL_STOP_WORDS
-    blocks = blocks_of(html)
+    blocks, language = blocks_of(html)
+    stop = SETS.get(language, ALL_STOP_WORDS)
     labels = second_pass([first_pass(b, stop) for b in blocks])
     # a heading goes with the block that follows it
     for i in range(len(blocks) - 2, -1, -1):
@@ -145,7 +183,8 @@ def extractor(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def extract(df, id_col="page_id", html_col="html"):
     """Rows (page_id, text, blocks, good), one for each input row, repeated rows included.
 
-    A null page has a null text; an empty page, or one without a good block, the empty text. Unclosed tags, comments and scripts run to
-    the end of the page. Whole pages are read, however long. Other columns are neither read nor returned.
+    A null page has a null text; an empty page, or one without a good block, the empty text. An unclosed tag ends at the next "<", unclosed
+    comments and scripts at the end of the page. Whole pages are read, however long, in time in proportion to their length. A null id is
+    kept, an empty table gives an empty result. Other columns are neither read nor returned.
     """
     return df.select(F.col(id_col).alias("page_id"), extractor(F.col(html_col)).alias("r")).select("page_id", "r.text", "r.blocks", "r.good")

@@ -1,7 +1,9 @@
 """The ten operators on small fixtures: brute force, round trips, held-out accuracy, and the edge cases all of them share."""
 
 import collections
+import html.parser
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -305,6 +307,94 @@ def test_html_language_after_a_long_comment():
     assert html_extract.extract_page(page) == html_extract.extract_page(f"<html lang=fr><body><p>{text}</p>") != html_extract.extract_page(f"<body><p>{text}</p>")
 
 
+class Plain(html.parser.HTMLParser):
+    """Blocks of a page by the standard library's parser: (text, characters in links, heading, furniture)."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.text, self.linked, self.inside, self.language = [], "", 0, [], None
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.out.append((text, min(self.linked, len(text)), any(t in html_extract.HEADINGS for t in self.inside), any(t in html_extract.FURNITURE for t in self.inside)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "html":
+            self.language = dict(attrs).get("lang")
+        if tag in html_extract.BLOCK_TAGS:
+            self.flush()
+        if tag not in ("br", "hr", "meta", "link", "img", "input"):
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK_TAGS:
+            self.flush()
+        if tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style", "head", "noscript", "template", "svg") for t in self.inside):
+            self.text += data
+            if "a" in self.inside:
+                self.linked += len(" ".join(data.split()))
+
+
+def page_by_brute_force(page):
+    """The rules block by block: each ambiguous block looks for its own neighbours."""
+    parser = Plain()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    stop = set(html_extract.STOP_WORDS.get(parser.language, " ".join(html_extract.STOP_WORDS.values())).split())
+
+    def label(text, linked, heading, furniture):
+        if furniture or linked / len(text) > 0.2 or "©" in text:
+            return "bad"
+        if len(text) < 70:
+            return "bad" if linked else "short"
+        tokens = re.findall(r"[^\W\d_]+", text.lower())
+        share = sum(t in stop for t in tokens) / max(1, len(tokens))
+        return ("good" if len(text) > 200 else "near") if share >= 0.18 else "near" if share >= 0.12 else "bad"
+
+    first = [label(*b) for b in parser.out]
+    decided = lambda order: next((first[j] for j in order if first[j] in ("good", "bad")), "bad")
+    final = []
+    for i, x in enumerate(first):
+        before, after = decided(range(i - 1, -1, -1)), decided(range(i + 1, len(first)))
+        if x == "near":
+            x = "good" if "good" in (before, after) else "bad"
+        elif x == "short" and before == after:
+            x = before
+        elif x == "short":
+            toward = range(i + 1, len(first)) if after == "bad" else range(i - 1, -1, -1)
+            x = "good" if next((first[j] for j in toward if first[j] != "short"), None) == "near" else "bad"
+        final.append(x)
+    for i in range(len(first) - 2, -1, -1):
+        _, linked, heading, furniture = parser.out[i]
+        if heading and not linked and not furniture and final[i + 1] == "good":
+            final[i] = "good"
+    good = [b[0] for b, x in zip(parser.out, final, strict=True) if x == "good"]
+    return "\n".join(good), len(first), len(good)
+
+
+def test_html_is_that_of_a_plain_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["blocks"], r["good"]) for r in html_extract.extract(pages).collect()}
+    assert got == {r["page_id"]: page_by_brute_force(r["html"]) for r in pages.collect()} and any(g[2] for g in got.values())
+
+
+def test_html_left_open_takes_no_longer(spark):
+    broken = ["<p " + 'a="b" ' * 10_000, "<a " * 100_000, '<a "' * 100_001, "<head>" + "<title>" * 50_000, "<!" * 100_000, "<script>" + "</script" * 50_000, "<svg" * 50_000]
+    began = time.time()
+    assert all(html_extract.extract_page(b)[2] == 0 for b in broken)
+    assert time.time() - began < 20
+    good = "The house of the people and the story that they were told in a long way is for all of us to be there with them, as it was. " * 3
+    assert html_extract.extract_page(f"<p>{good}</p><p>{good}<a title='" + 'x="y" ' * 1000)[2] == 2
+    assert html_extract.extract_page(f"<p>{good}</p><p class=x <b>{good}</b>")[2] == 2
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 20_000), (4, "<!-- never closed"), (None, "<p>x"), (2, "")]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
