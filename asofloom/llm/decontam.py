@@ -14,7 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.scratch import written
 from .words import byte_slices
 
 NGRAM = 8
@@ -50,10 +52,10 @@ class Matcher:
         self.items = [patterns[p] for p in self.patterns]
         self.m = m = min(map(len, self.patterns))
         every = np.frombuffer(b"".join(p[:m] for p in self.patterns), np.uint8).reshape(-1, m)
-        self.shift = np.full(1 << TABLE_BITS, m - BLOCK + 1, np.uint16)
+        self.shift = np.full(1 << TABLE_BITS, m - BLOCK + 1, np.uint32)
         for end in range(BLOCK, m + 1):
             h = self.hash(np.ascontiguousarray(every[:, end - BLOCK : end]).view("<u8").ravel())
-            np.minimum.at(self.shift, h, np.uint16(m - end))
+            np.minimum.at(self.shift, h, np.uint32(m - end))
         self.head = np.ascontiguousarray(every[:, :BLOCK]).view("<u8").ravel()
         tail = self.hash(np.ascontiguousarray(every[:, m - BLOCK :]).view("<u8").ravel())
         self.order = np.argsort(tail, kind="stable")
@@ -133,25 +135,6 @@ def patterns_of(items, ngram=NGRAM, min_words=MIN_WORDS):
     return {p: sorted(i) for p, i in out.items()}
 
 
-def passes(patterns, limit=PASS_BYTES):
-    """Parts of a pattern dictionary of at most ``limit`` bytes each, or of one item: an item is searched in one pass as a whole."""
-    of = defaultdict(list)
-    for p, items in patterns.items():
-        for item in items:
-            of[item].append(p)
-    part, size = defaultdict(list), 0
-    for item in sorted(of):
-        own = sum(map(len, of[item]))
-        if part and size + own > limit:
-            yield dict(part)
-            part, size = defaultdict(list), 0
-        for p in of[item]:
-            part[p].append(item)
-        size += own
-    if part:
-        yield dict(part)
-
-
 def searcher(spark, patterns):
     """An Arrow function from normal text to the items found, with the number of places where a run of the item's words starts."""
     shared = spark.sparkContext.broadcast(patterns)
@@ -179,21 +162,39 @@ def searcher(spark, patterns):
     return search
 
 
-def benchmark_patterns(benchmark, item_col="item_id", text_col="text", ngram=NGRAM, min_words=MIN_WORDS):
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), normal(F.col(text_col)).alias("t")).na.drop().toArrow()
-    return patterns_of(zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True), ngram, min_words)
-
+def passes(benchmark, item_col="item_id", text_col="text", ngram=NGRAM, min_words=MIN_WORDS, limit=PASS_BYTES):
+    """Pattern dictionaries of the items, each of about ``limit`` bytes at most; an item is searched in one pass as a whole.
 
-def contamination(df, benchmark, ngram=NGRAM, id_col="doc_id", text_col="text", pass_bytes=PASS_BYTES):
+    The items' bytes are added up before any reaches the driver, which then holds one part at a time. Parts are drawn by a hash of the id.
+    """
+    if not isinstance(benchmark.schema[item_col].dataType, T.IntegralType):
+        raise TypeError(f"{item_col} must be a column of whole numbers")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), normal(F.col(text_col)).alias("t")).na.drop()
+    own = F.octet_length("t") * F.least(F.lit(ngram), F.size(F.split("t", " ")))
+    total, rows = items.agg(F.coalesce(F.sum(own), F.lit(0)), F.count("*")).first()
+    parts = 1
+    if total > limit:
+        items, parts = written(items), min(rows, -(-2 * total // limit))
+    for part in range(parts):
+        rows = (items if parts == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)).distinct().toArrow()
+        patterns = patterns_of(zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True), ngram, min_words)
+        if patterns:
+            yield patterns
+
+
+def contamination(df, benchmark, ngram=NGRAM, min_words=MIN_WORDS, id_col="doc_id", text_col="text", pass_bytes=PASS_BYTES):
     """Rows (doc_id, item_id, hits): the items that documents hold a run of ``ngram`` words of, and at how many places such runs start.
 
-    Of an item of fewer words the whole is sought, also if it is a single word. Case, punctuation and white space don't matter. Null and empty texts, and null ids of items, match nothing. Rows that repeat an id
-    count each for itself. An empty table on either side gives an empty result. Documents' other columns are neither read nor returned.
+    Of an item of fewer words the whole is sought, also if it is a single word; items of fewer than ``min_words`` are not, by default there
+    are none. Case, punctuation and white space don't matter. Null and empty texts, null ids of items, and items without words match
+    nothing. Rows that repeat a document's id count each for itself; rows that repeat an item's id are one item with all their runs, and a
+    run that several items share counts for each. A null doc_id is kept. An empty table on either side gives an empty result. Documents'
+    other columns are neither read nor returned. Whole texts are searched, however long. TypeError if item ids aren't whole numbers.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), normal(F.col(text_col)).alias("t"))
     found = None
-    for part in passes(benchmark_patterns(benchmark, ngram=ngram), pass_bytes):
+    for part in passes(benchmark, ngram=ngram, min_words=min_words, limit=pass_bytes):
         one = docs.select("doc_id", searcher(spark, part)(F.col("t")).alias("h")).select("doc_id", F.inline("h"))
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -201,9 +202,13 @@ def contamination(df, benchmark, ngram=NGRAM, id_col="doc_id", text_col="text",
     return found
 
 
-def decontaminate(df, benchmark, ngram=NGRAM, text_col="text", pass_bytes=PASS_BYTES):
-    """``df`` without the rows whose text holds a run of ``ngram`` words of an item, or a shorter item as a whole."""
-    for part in passes(benchmark_patterns(benchmark, ngram=ngram), pass_bytes):
+def decontaminate(df, benchmark, ngram=NGRAM, min_words=MIN_WORDS, text_col="text", pass_bytes=PASS_BYTES):
+    """``df``, all columns, without the rows whose text holds a run of ``ngram`` words of an item, or a shorter item as a whole.
+
+    Rows with a null or empty text stay, rows that repeat an id or a text are judged each for itself. With an empty benchmark everything
+    stays. Items are those of contamination().
+    """
+    for part in passes(benchmark, ngram=ngram, min_words=min_words, limit=pass_bytes):
         df = df.where(F.size(searcher(df.sparkSession, part)(normal(F.coalesce(F.col(text_col), F.lit(""))))) == 0)
     return df
 
