@@ -10,6 +10,7 @@ orthogonal to all of them, so in that table the pair agrees on every kept bit an
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..boundary import q
 from ..sources.scratch import written
 from .words import byte_slices, words
 
 BITS = 128
 RADIUS = 15
-BLOCKS = 3
+#: Blocks that the bits may be cut into, and comparisons of signatures that cost as much as a row of a table.
+BLOCKS, PAIRS_PER_ROW = (1, 2, 3), 100
 #: Runs of equal keys up to this length are compared pair by pair at once; longer ones are searched breadth first.
 SHORT_RUN = 12
 
@@ -70,14 +73,28 @@ def signer():
     return sign
 
 
-def covering_masks(bits=BITS, radius=RADIUS, blocks=BLOCKS, seed=9):
+def block_radii(radius, blocks):
+    """The radius of each block, so that sum(r + 1) = radius + 1."""
+    return [(radius + 1) // blocks + (k < (radius + 1) % blocks) - 1 for k in range(blocks)]
+
+
+def best_blocks(nodes, radius=RADIUS, bits=BITS):
+    """How many blocks find the pairs of so many signatures at the least cost: fewer ones have more tables, but longer keys and shorter runs.
+
+    A block's keys have about half its bits, so the comparisons of one signature in a table grow with nodes / 2 ** (bits / blocks / 2).
+    """
+    cost = lambda b: sum((1 << (r + 1)) - 1 for r in block_radii(radius, b)) * (PAIRS_PER_ROW + nodes / 2 ** (bits / b / 2))
+    return min((b for b in BLOCKS if b <= radius + 1), key=cost)
+
+
+def covering_masks(bits=BITS, radius=RADIUS, blocks=3, seed=9):
     """The masks of all tables, each as a Python integer of ``bits`` bits."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(bits)
     masks = []
     for k in range(blocks):
         own = order[bits * k // blocks : bits * (k + 1) // blocks]
-        r = (radius + 1) // blocks + (k < (radius + 1) % blocks) - 1  # so that sum(r + 1) = radius + 1
+        r = block_radii(radius, blocks)[k]
         if r < 0:
             continue
         m = rng.integers(0, 1 << (r + 1), len(own))
@@ -92,11 +109,12 @@ def _signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def keyed(nodes, masks):
-    """Rows (key, node, a, b), one for each node and table."""
+def keyed(nodes, masks, at_once=128):
+    """Rows (key, node, a, b), one for each node and table. Generated code is kept short: nodes are read once for every ``at_once`` tables."""
     low = (1 << 64) - 1
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("a").bitwiseAND(F.lit(_signed(m >> 64))), F.col("b").bitwiseAND(F.lit(_signed(m & low)))) for i, m in enumerate(masks)])
-    return nodes.select("node", "a", "b", F.explode(keys).alias("key"))
+    keys = [F.xxhash64(F.lit(i), F.col("a").bitwiseAND(F.lit(_signed(m >> 64))), F.col("b").bitwiseAND(F.lit(_signed(m & low)))) for i, m in enumerate(masks)]
+    parts = [nodes.select("node", "a", "b", F.explode(F.array(*keys[i : i + at_once])).alias("key")) for i in range(0, len(keys), at_once)]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def near(a, b, i, j, radius):
@@ -198,12 +216,20 @@ def document_signatures(df, id_col="doc_id", text_col="text"):
     return written(s.groupBy("doc_id").agg(F.min("s").alias("s"), F.count("*").alias("n")).select("doc_id", "s.a", "s.b", "n"))
 
 
-def grouped(signed, radius=RADIUS, blocks=BLOCKS):
+def one_of_each(df, id_col="doc_id", text_col="text"):
+    """One row of each id: that of the smallest signature, which stands for the id, or else of the least JSON form, whatever the partitioning."""
+    order = F.struct(F.coalesce(signer()(F.col(text_col)), F.struct(F.lit(2**63 - 1).alias("a"), F.lit(2**63 - 1).alias("b"))), F.to_json(F.struct(*map(q, df.columns))))
+    least = df.select(q(id_col).alias("__id"), F.struct(*map(q, df.columns)).alias("__row"), order.alias("__order")).groupBy("__id").agg(F.min_by("__row", "__order").alias("__row"))
+    return least.select("__row.*")
+
+
+def grouped(signed, radius=RADIUS, blocks=None):
     """Rows (doc_id, group_id) for document_signatures(): group_id is the smallest id of the document's group."""
     whole = signed.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     # equal signatures are one node, so a group of exact copies costs no more than one document
     nodes = written(whole.withColumn("node", F.monotonically_increasing_id()))
-    rows = keyed(nodes.select("node", "a", "b"), covering_masks(BITS, radius, blocks)).repartition("key").sortWithinPartitions("key")
+    masks = covering_masks(BITS, radius, blocks or best_blocks(nodes.count(), radius))
+    rows = keyed(nodes.select("node", "a", "b"), masks).repartition("key").sortWithinPartitions("key")
     edges = rows.select("key", "node", "a", "b").mapInArrow(edge_finder(radius), "u long, v long")
     roots = components(edges)
     rep = nodes.select("node", "rep")
@@ -215,19 +241,24 @@ def grouped(signed, radius=RADIUS, blocks=BLOCKS):
     return signed.join(named, ["a", "b"], "left").select("doc_id", F.coalesce("g", "doc_id").alias("group_id"))
 
 
-def near_duplicates(df, radius=RADIUS, blocks=BLOCKS, id_col="doc_id", text_col="text"):
+def near_duplicates(df, radius=RADIUS, blocks=None, id_col="doc_id", text_col="text"):
     """Rows (doc_id, group_id, keep), one for each distinct doc_id; keep is true for the smallest id of each group.
 
     Rows that repeat an id are one document, represented by the smallest of their signatures. Null ids have no row. A document without
     words (null, empty, only signs) is never grouped. Documents with equal signatures are always grouped. An empty table gives an empty
-    result. ``blocks`` changes the number of tables and the bits of a key (more documents: fewer blocks), never the result.
+    result. ``blocks``, by default chosen from the number of signatures, changes the number of tables and the bits of a key (more documents:
+    fewer blocks), never the result. Other columns are neither read nor returned.
     """
     g = grouped(document_signatures(df, id_col, text_col), radius, blocks)
     return g.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
-def deduplicate(df, radius=RADIUS, blocks=BLOCKS, id_col="doc_id", text_col="text"):
-    """``df`` with one row of each group; rows with a null id stay. Repeated rows of a kept id become one."""
+def deduplicate(df, radius=RADIUS, blocks=None, id_col="doc_id", text_col="text"):
+    """``df``, all columns, with one document of each group, that of the smallest id.
+
+    Rows with a null id stay, each of them. Of rows that repeat a kept id one stays: that of the smallest signature, by which the id was
+    grouped; if several have it, or none has words, the one whose JSON form is least. So the result doesn't depend on the partitioning.
+    """
     signed = document_signatures(df, id_col, text_col)
     g = grouped(signed, radius, blocks)
     dropped = written(g.where("doc_id <> group_id").select(F.col("doc_id").alias("__dropped")))
@@ -236,4 +267,4 @@ def deduplicate(df, radius=RADIUS, blocks=BLOCKS, id_col="doc_id", text_col="tex
     if repeated.isEmpty():
         return kept
     again = F.col(id_col) == F.col("__repeated")
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    return kept.join(repeated, again, "left_anti").unionByName(one_of_each(kept.join(repeated, again, "left_semi"), id_col, text_col))

@@ -217,6 +217,24 @@ def test_short_and_unspaced_items_are_sought(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(df, bench).collect()} == {8, 10}
 
 
+def test_decontamination_edge_cases(spark, odd):
+    long = "x" * 70_000
+    bench = spark.createDataFrame([(1, long), (1, "a b"), (1, long), (2, f"{long} {long} y"), (3, "a b")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"{long} {long} Y!"), (2, f"{long}x a-B"), (None, long), (None, long)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["item_id"], r["hits"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == {(1, 1, 2): 1, (1, 2, 1): 1, (2, 1, 1): 1, (2, 3, 1): 1, (None, 1, 1): 2}
+    assert decontam.contamination(docs, bench, pass_bytes=300_000).count() == 6
+    assert sorted((r["item_id"], r["hits"]) for r in decontam.contamination(docs, bench, min_words=3).collect()) == [(2, 1)]
+    only = spark.createDataFrame([(1, long)], "item_id long, text string")
+    assert decontam.contamination(docs, only).count() == 3 and decontam.decontaminate(docs, only).count() == 1
+    assert decontam.decontaminate(odd, bench).count() == odd.count() and decontam.decontaminate(odd, bench).columns == odd.columns
+    for nothing in (bench.where("false"), spark.createDataFrame([(1, None), (2, "?!"), (None, "the")], "item_id long, text string")):
+        assert decontam.contamination(odd, nothing).count() == 0 and decontam.decontaminate(odd, nothing).count() == odd.count()
+    assert decontam.contamination(odd.where("false"), bench).count() == 0 and decontam.decontaminate(odd.where("false"), bench).count() == 0
+    with pytest.raises(TypeError):
+        decontam.contamination(docs, bench.withColumn("item_id", F.lit("a")))
+
+
 # ---- 8
 
 
@@ -270,12 +288,29 @@ def test_groups_are_those_of_all_pairs(spark):
     assert got == {i: find(i) for i in texts}
 
 
-def test_duplicates_edge_cases(odd):
+def test_number_of_blocks_changes_no_result(spark, docs):
+    every = [sorted(tuple(r) for r in simhash.near_duplicates(docs, blocks=b).collect()) for b in (2, 3, 4)]
+    assert every[0] == every[1] == every[2]
+    assert simhash.best_blocks(10_000) == simhash.best_blocks(100_000_000) == 3 and simhash.best_blocks(10**11) == 2
+    assert simhash.best_blocks(10**11, radius=0) == 1 and all(sum(r + 1 for r in simhash.block_radii(15, b)) == 16 for b in (1, 2, 3))
+
+
+def test_duplicates_edge_cases(spark, odd):
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(odd).collect()}
     assert got[4] == got[5] == 4 and all(got[i] == i for i in (1, 2, 3, 7)) and None not in got
     kept = sorted(r["doc_id"] or 0 for r in simhash.deduplicate(odd).collect())
     assert kept == [0, 1, 2, 3, 4, 6, 7, 8]
-    assert simhash.near_duplicates(odd.where("false")).count() == 0
+    assert simhash.near_duplicates(odd.where("false")).count() == 0 and simhash.deduplicate(odd.where("false")).count() == 0
+
+
+def test_of_rows_that_repeat_an_id_always_the_same_one_stays(spark):
+    texts = [None, "", "some words of a text", "other words of it here", "other words of it here", "and a third text again"]
+    rows = [(1, texts[k % 6], None if k % 5 == 0 else f"s{k % 7}") for k in range(60)] + [(2, None, f"s{k}") for k in range(9)] + [(None, "x", "s")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(str, simhash.deduplicate(d).collect())) for d in (df.coalesce(1), df.repartition(5), df.orderBy(F.desc("source")).repartition(3, "source"))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 4
+    texts = sorted({t for t in texts if t}, key=lambda t: tuple(simhash.signatures(pa.array([t]))[1][0].view(np.int64).tolist()))
+    assert {r["text"] for r in simhash.deduplicate(df).where("doc_id = 1").collect()} == {texts[0]}
 
 
 # ---- 10
