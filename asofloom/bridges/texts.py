@@ -130,7 +130,10 @@ class LanguageId(Bridge):
 
 
 class NERCounts(Bridge):
-    """Named entities by kind, by a spaCy model where one is installed."""
+    """Named entities by kind, by a spaCy model where one is installed, or by what ``model`` makes on each executor if it is a function.
+
+    A model has pipe(texts), which gives documents whose ``ents`` have a ``label_``. Null texts count as empty.
+    """
 
     KINDS = {"persons": ("PERSON", "PER"), "orgs": ("ORG",), "locations": ("GPE", "LOC"), "money": ("MONEY",), "dates": ("DATE",)}
     values = dict.fromkeys(KINDS, "numeric")
@@ -139,15 +142,18 @@ class NERCounts(Bridge):
         self.pk, self.text, self.model, self.name, self.model_vintage = pk, text, model, name, model_vintage
 
     def compute(self, rows, fit_rows):
-        import spacy  # noqa: F401 - fails here, not on the executors, where it isn't installed
-
         model, kinds = self.model, self.KINDS
+        if not callable(model):
+            import spacy  # noqa: F401 - fails here, not on the executors, where it isn't installed
 
         @F.arrow_udf(T.StructType([T.StructField(k, T.LongType()) for k in kinds]))
         def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            import spacy
+            if callable(model):
+                nlp = model()
+            else:
+                import spacy
 
-            nlp = spacy.load(model)
+                nlp = spacy.load(model)
             for texts in batches:
                 found = [[e.label_ for e in doc.ents] for doc in nlp.pipe(t or "" for t in texts.to_pylist())]
                 yield pa.StructArray.from_arrays([pa.array([sum(x in names for x in f) for f in found]) for names in kinds.values()], names=list(kinds))
@@ -156,7 +162,9 @@ class NERCounts(Bridge):
 
 
 class SentenceEmbedding(Bridge):
-    """Unit vectors of texts, by a sentence-transformers model where one is installed."""
+    """Unit vectors of texts, by a sentence-transformers model where one is installed, or by what ``model`` makes on each executor if it is a
+    function: something with encode(texts, normalize_embeddings=True). Null texts count as empty.
+    """
 
     values = {"embedding": "vector"}
 
@@ -164,15 +172,18 @@ class SentenceEmbedding(Bridge):
         self.pk, self.text, self.model, self.name, self.model_vintage = pk, text, model, name, model_vintage
 
     def compute(self, rows, fit_rows):
-        import sentence_transformers  # noqa: F401
-
         model = self.model
+        if not callable(model):
+            import sentence_transformers  # noqa: F401
 
         @F.arrow_udf(T.ArrayType(T.FloatType()))
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            from sentence_transformers import SentenceTransformer
+            if callable(model):
+                m = model()
+            else:
+                from sentence_transformers import SentenceTransformer
 
-            m = SentenceTransformer(model)
+                m = SentenceTransformer(model)
             for texts in batches:
                 yield pa.array(list(m.encode([t or "" for t in texts.to_pylist()], normalize_embeddings=True)), pa.list_(pa.float32()))
 

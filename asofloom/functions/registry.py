@@ -26,11 +26,29 @@ AGGREGATIONS = Registry("aggregation")
 TRANSFORMATIONS = Registry("transformation")
 
 
-def register_aggregation(name, item):
+def register_aggregation(name, item, inputs=("numeric",), output="numeric", **options):
+    """Registers an Aggregation, or a function from a Column (of doubles for numbers) to an aggregate Column as one.
+
+    The function gets the values that are known at the date and lie in the interval, all others as null. ``inputs`` are the types of
+    columns that it takes, ``output`` the type of its result ("same": the column's own), ``options`` are those of Aggregation.
+    """
+    if callable(item) and not hasattr(item, "applies"):
+        from .aggregations import Aggregation
+
+        item = Aggregation(name, tuple(inputs), lambda s, f=item: f(s.when(s.x)), output=output, **options)
     return AGGREGATIONS.register(name, item)
 
 
-def register_transformer(name, item):
+def register_transformer(name, item, inputs=("numeric",), output="numeric", **options):
+    """Registers a Transformation, or a function from a Column to a Column as one.
+
+    With ``windowed=True`` the function also gets the Rows of the entity, whose windows (order(), last(n), population) it may use.
+    """
+    if callable(item) and not hasattr(item, "applies"):
+        from .transformations import Transformation
+
+        build = item if options.get("windowed") else lambda x, rows, f=item: f(x)
+        item = Transformation(name, tuple(inputs), build, output=output, **options)
     return TRANSFORMATIONS.register(name, item)
 
 

@@ -1,7 +1,8 @@
 """Features of an entity as the node of an edge table, measured at each as-of date.
 
-Neighbour lists are undirected and without repetition or loops. Triangles and pairs are found by joining edges that point from the node of
-smaller degree to the other, so a hub's list is never joined with itself.
+Neighbour lists are undirected and without repetition or loops. Triangles are found by joining edges that point from the node of smaller
+degree to the other, so for them a hub's list is never joined with itself. Nodes two steps away are the exception: a hub makes as many of
+them as the square of its degree.
 """
 
 from functools import reduce

@@ -26,7 +26,7 @@ def as_of_join(df, parent, key, parent_key, ts, parent_ts, columns, grace=None,
 
     Both sides are put in one frame and sorted by key and time once; the latest parent row is then carried forward. There is no join, so
     neither the number of matches nor an inequality matters. Of parent rows of one time the greatest tiebreak wins. Rows with a null key
-    or time match nothing.
+    or time match nothing; they are spread by a hash of the row, so that no task gets all of them.
     """
     scope = _scope(df, parent)
     lent = F.struct(q(parent_ts).alias("__t"), *(q(a).alias(f"__d{i}") for i, (a, _) in enumerate(columns)))
@@ -37,9 +37,11 @@ def as_of_join(df, parent, key, parent_key, ts, parent_ts, columns, grace=None,
         q(parent_key).alias("__k"), *map(q, keyed), q(parent_ts).cast("timestamp_ntz").alias("__at"), F.lit(0).alias("__side"), tie.cast("string").alias("__tie") if tiebreak is None else tie.alias("__tie"), lent.alias("__lent")
     )
     kind = dict(df.dtypes)
-    left = df.select(q(key).alias("__k"), *map(q, keyed), q(ts).cast("timestamp_ntz").alias("__at"), F.lit(1).alias("__side"), own.alias("__own"))
+    hashable = [q(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    alone = F.when(q(key).isNull() | q(ts).isNull(), F.xxhash64(*hashable))
+    left = df.select(q(key).alias("__k"), *map(q, keyed), alone.alias("__alone"), q(ts).cast("timestamp_ntz").alias("__at"), F.lit(1).alias("__side"), own.alias("__own"))
     both = right.unionByName(left, allowMissingColumns=True)
-    w = Window.partitionBy("__k", *map(q, keyed)).orderBy(F.col("__at").asc_nulls_first(), "__side", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("__k", *map(q, keyed), "__alone").orderBy(F.col("__at").asc_nulls_first(), "__side", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.select("__side", "__own", F.when(F.col("__k").isNotNull() & F.col("__at").isNotNull(), F.last("__lent", True).over(w)).alias("__lent"), "__at").where("__side = 1")
     fresh = F.lit(True) if not grace else F.col("__lent.__t").cast("timestamp_ntz") >= back(F.col("__at"), grace)
     return filled.select(*(F.col(f"__own.__c{i}").cast(kind[c]).alias(c) for i, c in enumerate(df.columns)), *(F.when(fresh, F.col(f"__lent.__d{i}")).alias(b) for i, (_, b) in enumerate(columns)))

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from ..boundary import q
 from ..functions.aggregations import nz
 
+
 def ordered_bucket(x):
-    """A long that never falls as ``x`` grows: sign, binary exponent and 16 bits of the mantissa. Equal values have equal buckets; null and NaN are last."""
+    """A long that never falls as ``x`` grows: sign, binary exponent and 16 bits of the mantissa. Equal values have equal buckets; infinities have their own, null and NaN are last."""
     exponent = F.floor(F.log2(F.abs(x)))
     scaled = F.floor(F.abs(x) / F.pow(F.lit(2.0), exponent) * 65536.0)  # 65536 .. 131071
     magnitude = F.when(x == 0, F.lit(0.0)).otherwise((exponent + 1100) * 131072.0 + scaled)
-    return F.when(x.isNull() | F.isnan(x), F.lit(1 << 40)).otherwise((F.signum(x) * magnitude).cast("long"))
+    infinite = F.abs(x) == float("inf")
+    return F.when(x.isNull() | F.isnan(x), F.lit(1 << 40)).when(infinite, F.when(x > 0, F.lit(1 << 39)).otherwise(F.lit(-(1 << 39)))).otherwise((F.signum(x) * magnitude).cast("long"))
 
 
 def ranked(df, column, scope, name, by=(), base=None):
