@@ -7,13 +7,15 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from asofloom.llm import decontam, html_extract, langid, packing, quality, queries, sharding, simhash, token_counts, topk, toxicity
 from tests.conftest import SF, rows_of
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+from . import plain
+
 RANKS = f"{queries.TOKENIZERS}/{queries.RANKS}"
 
 
@@ -27,14 +29,6 @@ def labels(spark):
     return spark.read.parquet(f"{SF}/labels.parquet")
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls everywhere, empty and very long texts, repeated rows, an extra column whose name clashes with results."""
-    long = "the of and word " * 60_000
-    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\t ", None), (4, "the same text of the week", "en"), (4, "the same text of the week", "en"), (5, "the same text of the week", "en"), (None, "no id here", "en"), (6, long, "en"), (7, "!!! ???", "de"), (8, "x" * 300_000, None)]
-    return spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], DOCS).withColumns({"score": F.lit("clash"), "n_tokens": F.lit("clash"), "shard": F.lit(1), "group_id": F.lit("clash")})
-
-
 @pytest.mark.parametrize("name", queries.SQL)
 def test_sql(spark, duck, name):
     assert rows_of(queries.QUERIES[name](spark, SF)) == rows_of(duck.sql(queries.SQL[name]))
@@ -48,8 +42,9 @@ def test_token_counts_are_those_of_whole_texts(spark, docs, odd):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, RANKS).collect()}
     assert got == {i: len(own.encode_ordinary(t)) for i, t in texts.items()}
-    rows = collections.Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(odd.where("doc_id <> 8"), RANKS).collect())
+    rows = collections.Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(odd, RANKS).collect())
     assert rows[(1, None)] == 1 and rows[(2, 0)] == 1 and rows[(4, 6)] == 2 and rows[(6, len(own.encode_ordinary("the of and word " * 60_000)))] == 1
+    assert rows[(None, len(own.encode_ordinary("no id here")))] == 1 and rows[(8, len(own.encode_ordinary("x" * 300_000)))] == 1 and token_counts.token_counts(odd.where("false"), RANKS).count() == 0
     text = "words and   spaces\n\n in " * 20
     assert "".join(token_counts.pieces(text, 50)) == text
     assert sum(len(own.encode_ordinary(p)) for p in token_counts.pieces(text, 50)) == len(own.encode_ordinary(text))
@@ -78,6 +73,17 @@ def test_language_held_out(spark, docs):
     assert np.mean([r["lang"] == r["truth"] for r in got]) > 0.95
 
 
+def test_language_is_that_of_plain_scoring(spark, docs):
+    """Model and scores anew, a word at a time; the sample is the whole table here."""
+    rows = docs.collect()
+    model = plain.language_model([(r["text"], r["lang"]) for r in rows if r["text"] is not None and r["lang"] is not None])
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit_on(docs)).collect()}
+    for r in rows:
+        lang, margin, known = plain.language(model, r["text"])
+        g = got[r["doc_id"]]
+        assert abs(g["margin"] - margin) < 1e-3 and abs(g["known"] - known) < 1e-4 and (g["lang"] == lang or abs(margin - langid.MIN_MARGIN) < 1e-4)
+
+
 def test_language_backs_off_to_shorter_grams():
     m = langid.fit([("aaa aaa bbb bbb", "x"), ("ccc ccc ddd ddd", "y")])
     assert langid.score_word(m, "aaa")[0] > langid.score_word(m, "aaa")[1]
@@ -108,7 +114,44 @@ def test_packing(spark, docs, odd):
     lengths = {r["doc_id"]: -(-len(r["text"].encode()) // 4) for r in docs.collect()}
     packs = check_packs(rows, lengths, 512)
     assert len(packs) <= 1.1 * sum(lengths.values()) / 512 + 1
-    assert packing.pack(odd.where("false")).count() == 0 and packing.pack(odd).count() > 0
+    assert packing.pack(odd.where("false")).count() == 0
+
+
+def packed_by_hand(lengths, window, grid):
+    """The pieces of (id, length) rows taken one after the other by the repeats of the recipe's patterns."""
+    pieces = sorted(((-1 if i is None else i), s, min(window, n - s)) for i, n in lengths for s in range(0, n or 0, window))
+    queues, out, pack = collections.defaultdict(collections.deque), [], 0
+    for p in pieces:
+        queues[-(-p[2] * grid // window)].append(p)
+    for sizes, times in packing.recipe([len(queues[s]) for s in range(grid + 1)], grid):
+        assert 0 < sum(sizes) <= grid
+        for _ in range(times):
+            out += [(*queues[s].popleft(), pack, slot) for slot, s in enumerate(sizes)]
+            pack += 1
+    assert not any(queues.values())
+    return sorted(out)
+
+
+def test_packing_is_that_of_plain_queues(spark, docs, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing columns as well; several ranges, whatever the partitioning."""
+    for df, window, grid in ((docs, 512, 64), (odd, 2048, 128), (odd.repartition(5), 64, 16)):
+        odds = df.withColumns({c: F.lit("clash") for c in ("size", "rank", "p", "n", "base", "length", "lo")})
+        lengths = [(r["doc_id"], -(-len((r["text"] or "").encode()) // 4)) for r in df.collect()]
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in packing.pack(odds, window=window, grid=grid, range_rows=50).collect())
+        assert got == packed_by_hand(lengths, window, grid)
+
+
+def test_nnls_is_the_best_of_all_supports():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, y = rng.random((5, 6)), rng.normal(0, 1, 5)
+        best = np.linalg.norm(y)
+        for mask in range(1, 64):
+            p = [j for j in range(6) if mask >> j & 1]
+            x = np.linalg.lstsq(a[:, p], y, rcond=None)[0]
+            if (x >= 0).all():
+                best = min(best, np.linalg.norm(a[:, p] @ x - y))
+        assert np.linalg.norm(a @ packing.nnls(a, y) - y) == pytest.approx(best, abs=1e-8)
 
 
 def test_nnls_solves_what_has_a_solution():
@@ -135,9 +178,33 @@ def test_toxicity_held_out_and_stems(spark):
     assert np.mean((p >= cut)[y == 1]) > 0.9 and np.mean((p >= cut)[y == 0]) < 0.05
 
 
+def test_toxicity_is_that_of_plain_convolution(docs, labels):
+    model = toxicity.fit_on(docs.where("doc_id % 2 = 0"), labels)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]]["score"] == pytest.approx(plain.toxic_score(model, r["text"]), abs=1e-4)
+
+
+def test_toxicity_held_out_on_labels():
+    """Fitted on even ids of the largest tables, judged on odd ones: words that the sample lacks must be known by their stems."""
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pydict() for t in ("documents", "labels"))
+    toxic = dict(zip(labels["doc_id"], labels["toxic"], strict=True))
+    rows = [(t, x, int(toxic[i]), i) for i, t, x in zip(docs["doc_id"], docs["text"], docs["lang"], strict=True) if i in toxic and t]
+    model = toxicity.fit([r[:3] for r in rows if r[3] % 2 == 0])
+    rest = [r for r in rows if r[3] % 2]
+    marked = toxicity.Scorer(model).scores(pa.array([r[0] for r in rest])) >= np.array([model["thresholds"].get(r[1], model["common"]) for r in rest])
+    y = np.array([r[2] for r in rest])
+    assert marked[y == 1].mean() > 0.85 and marked[y == 0].mean() < 0.05
+
+
 def test_toxicity_edge_cases(odd, docs, labels):
-    got = {r["doc_id"]: r for r in toxicity.toxicity(odd, toxicity.fit_on(docs, labels)).collect()}
+    model = toxicity.fit_on(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(odd, model).collect()}
     assert all(got[i]["score"] == 0 and not got[i]["toxic"] for i in (1, 2, 3, 7))
+    every = toxicity.toxicity(odd.withColumn("lang", F.lit(None).cast("string")), model).collect()  # the common threshold
+    assert len(every) == 10 and all(r["toxic"] == (r["score"] >= model["common"] and r["score"] > 0) for r in every)
+    assert len({r[1:] for r in every if r["doc_id"] == 4}) == 1 and sum(r["doc_id"] == 4 for r in every) == 2
+    assert toxicity.toxicity(odd.where("false"), model).count() == 0
     assert not any(r["toxic"] for r in toxicity.toxicity(odd, toxicity.fit([])).collect())
 
 
@@ -244,10 +311,32 @@ def test_quality_held_out(spark, docs, labels):
     assert np.mean([r["keep"] == (r["quality"] == 1) for r in got]) > 0.85
 
 
+def test_quality_is_that_of_plain_features(docs, labels):
+    model = quality.fit_on(docs, labels)
+    got = {r["doc_id"]: r for r in quality.quality(docs, model).collect()}
+    for r in docs.collect():
+        score = plain.quality_score(model, r["text"])
+        assert got[r["doc_id"]]["score"] == pytest.approx(score or 0.0, abs=1e-4)
+        assert got[r["doc_id"]]["keep"] == (score is not None and got[r["doc_id"]]["score"] >= 0)
+
+
+def test_dual_descent_finds_the_least_hinge_loss():
+    rng = np.random.default_rng(6)
+    x, cost = rng.normal(0, 1, (60, 5)), np.full(60, 0.7)
+    y = np.where(x @ np.array([1, -2, 0.5, 0, 1]) + rng.normal(0, 1, 60) > 0, 1.0, -1.0)
+    w = quality.dual_descent(np.arange(0, 301, 5), np.tile(np.arange(5), 60), x.ravel(), y, cost, 2000)[:5]
+    loss = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-4 for s in (0.01, 0.1, 1) for d in rng.normal(0, s, (300, 5)))
+
+
 def test_quality_edge_cases(odd, docs, labels):
     got = {r["doc_id"]: r for r in quality.quality(odd, quality.fit_on(docs, labels)).collect()}
     assert all(got[i]["score"] == 0 and not got[i]["keep"] for i in (1, 2, 3))
     assert quality.fit([]) is None and quality.quality(odd, None).count() == 10
+    assert {r["doc_id"]: r["keep"] for r in quality.quality(odd, None).collect()} == {i: i not in (1, 2, 3) for i in (None, *range(1, 9))}  # ties at 0
+    twice = [r[1:] for r in quality.quality(odd, quality.fit_on(docs.union(docs), labels.union(labels))).collect() if r["doc_id"] == 4]
+    assert len(twice) == 2 and twice[0] == twice[1] and tuple(twice[0]) == tuple(got[4][1:])
+    assert quality.quality(odd.where("false"), None).count() == 0
 
 
 # ---- 9
