@@ -1,7 +1,7 @@
 """Bridges over whole graphs: iterations of joins, each round a written table.
 
 Betweenness, closeness and Louvain communities need the whole graph in one place. It is broadcast, or sent to one task, only up to
-``max_edges`` edges; beyond, betweenness and closeness raise, and communities come from label propagation, which is a plain join.
+``max_edges`` edges; beyond, they raise.
 """
 
 import math
@@ -210,48 +210,33 @@ def dependencies(edges, start):
 class Community(Bridge):
     """Communities of an undirected graph, and the modularity of the whole partition.
 
-    Up to ``max_edges`` edges by the Louvain method in one task, beyond by label propagation. A community's number is its rank by its smallest node.
+    By the Louvain method in one task; ValueError beyond ``max_edges`` edges. A community is named by its smallest node.
     """
 
     values = {"community": "categorical", "modularity": "numeric"}
 
-    def __init__(self, source, target, weight=None, max_edges=MAX_EDGES, rounds=30, name="community", node="node"):
-        self.source, self.target, self.weight, self.max_edges, self.rounds, self.name, self.node = source, target, weight, max_edges, rounds, name, node
+    def __init__(self, source, target, weight=None, max_edges=MAX_EDGES, name="community", node="node"):
+        self.source, self.target, self.weight, self.max_edges, self.name, self.node = source, target, weight, max_edges, name, node
 
     def compute(self, rows, fit_rows):
         e = simple_edges(fit_rows, self.source, self.target, self.weight).select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "w")
         e = written(e.groupBy("s", "t").agg(F.max("w").alias("w")))
         kind = e.schema["s"].dataType.simpleString()
-        if e.count() <= self.max_edges:
+        size = e.count()
+        if size > self.max_edges:
+            raise ValueError(f"{size} edges are more than max_edges ({self.max_edges}): the Louvain method needs the graph in one process")
 
-            def together(t):
-                names = sorted({*t["s"].to_pylist(), *t["t"].to_pylist()})
-                index = {x: i for i, x in enumerate(names)}
-                own = louvain(len(names), [(index[a], index[b], w) for a, b, w in zip(t["s"].to_pylist(), t["t"].to_pylist(), t["w"].to_pylist(), strict=True)])
-                return pa.table({"n": pa.array(names, t.schema.field("s").type), "c": pa.array(own, pa.int64())})
+        def together(t):
+            names = sorted({*t["s"].to_pylist(), *t["t"].to_pylist()})
+            index = {x: i for i, x in enumerate(names)}
+            own = louvain(len(names), [(index[a], index[b], w) for a, b, w in zip(t["s"].to_pylist(), t["t"].to_pylist(), t["w"].to_pylist(), strict=True)])
+            return pa.table({"n": pa.array(names, t.schema.field("s").type), "c": pa.array(own, pa.int64())})
 
-            found = written(e.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: together(t.drop_columns(["g"])), f"n {kind}, c long"))
-        else:
-            found = self._propagated(e)
+        found = written(e.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: together(t.drop_columns(["g"])), f"n {kind}, c long"))
         m = F.broadcast(modularity(e, found))
         first = found.groupBy("c").agg(F.min("n").alias("first"))
         return found.join(first, "c").crossJoin(m).select(F.col("n").alias(self.node), F.col("first").cast("string").alias("community"), "modularity")
 
-    def _propagated(self, e):
-        around = both_ways(e)
-        now = written(around.select("s").distinct().select(F.col("s").alias("n"), F.xxhash64("s").alias("c")))
-        for _ in range(self.rounds):
-            votes = around.join(now.select(F.col("n").alias("t"), "c"), "t").groupBy(F.col("s").alias("n"), "c").agg(F.sum("w").alias("w"))
-            best = votes.groupBy("n").agg(F.max(F.struct("w", "c")).alias("b")).select("n", F.col("b.c").alias("new"))
-            # half of the nodes move in a round, by turns, so that pairs don't swap labels for ever
-            turn = F.pmod(F.xxhash64("n") + F.lit(_), F.lit(2)) == 0
-            new = written(now.join(best, "n").select("n", F.when(turn, F.col("new")).otherwise(F.col("c")).alias("c"), (F.col("new") != F.col("c")).alias("moved")))
-            done = new.where("moved").isEmpty()
-            now = new.drop("moved")
-            if done:
-                break
-        return now
-
 
 def modularity(e, found):
     """One row with the modularity of a partition (n, c)."""

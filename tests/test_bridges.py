@@ -74,12 +74,11 @@ CLIQUES = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(4) for j in range
 
 
 def test_communities(spark):
-    for limit in (100, 1):
-        got = values(b.Community("s", "t", max_edges=limit).run(edges(spark, CLIQUES)))
-        if limit == 100:
-            assert {got[n]["community"] for n in got if n[0] == "x"} == {"x0"} and {got[n]["community"] for n in got if n[0] == "y"} == {"y0"}
-            assert got["x0"]["modularity"] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2)
-        assert len(got) == 8
+    got = values(b.Community("s", "t").run(edges(spark, CLIQUES)))
+    assert {got[n]["community"] for n in got if n[0] == "x"} == {"x0"} and {got[n]["community"] for n in got if n[0] == "y"} == {"y0"}
+    assert got["x0"]["modularity"] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2) and len(got) == 8
+    with pytest.raises(ValueError, match="max_edges"):
+        b.Community("s", "t", max_edges=1).run(edges(spark, CLIQUES))
     assert louvain(3, []) == [0, 1, 2]
 
 
