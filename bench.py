@@ -39,6 +39,7 @@ def main():
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
         shape[name] = [seen.get["rows"], len(df.columns)]
+        print(name, took[name], *shape[name], file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "rows_columns": shape, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
     spark.stop()
