@@ -22,3 +22,10 @@ def test_change_point_of_equal_times(spark, tmp_path):
     values = [(u, 86400 * (i // 3), v) for u in (1, 2) for i, v in enumerate([3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8 * u])]
     c = table(tmp_path, "events", EVENTS.format(", ".join(map(str, values))))
     assert rows_of(QUERIES["bridge_change_point"](spark, str(tmp_path))) == rows_of(c.sql(SQL["bridge_change_point"]))
+
+
+def test_exp_to_the_last_bit(spark, tmp_path):
+    values = [(i, i, x) for i, x in enumerate([0, 1, -1, 122.79, 66.77, 105.9, 180.4, 62.7, 64.3, 709.5, 710, -800, *(k / 7 for k in range(1000))])]
+    c = table(tmp_path, "events", EVENTS.format(", ".join(map(str, values)) + ", (9999, 1, null)"))
+    got = {r["event_id"]: r["value"] for r in QUERIES["xf_exp"](spark, str(tmp_path)).collect()}
+    assert got == dict(c.sql(SQL["xf_exp"]).fetchall())
