@@ -1,7 +1,8 @@
 """Bridges over whole graphs: iterations of joins, each round a written table.
 
-Betweenness, closeness and Louvain communities need the whole graph in one place. It is broadcast, or sent to one task, only up to
-``max_edges`` edges; beyond, they raise.
+Betweenness and closeness need the whole graph in each process. It is broadcast only up to ``max_edges`` edges; beyond, they raise.
+Louvain communities come from one task, as each move depends on those before it; it holds the graph in arrays, which take about 70
+bytes for an edge without a weight while they are built.
 """
 
 import math
@@ -210,29 +211,39 @@ def dependencies(edges, start):
 class Community(Bridge):
     """Communities of an undirected graph, and the modularity of the whole partition.
 
-    By the Louvain method in one task; ValueError beyond ``max_edges`` edges. A community is named by its smallest node.
+    By the Louvain method in one task, at every size; ValueError beyond ``max_edges`` edges where these are given. A community is named by its
+    smallest node.
     """
 
     values = {"community": "categorical", "modularity": "numeric"}
 
-    def __init__(self, source, target, weight=None, max_edges=MAX_EDGES, name="community", node="node"):
+    def __init__(self, source, target, weight=None, max_edges=None, name="community", node="node"):
         self.source, self.target, self.weight, self.max_edges, self.name, self.node = source, target, weight, max_edges, name, node
 
     def compute(self, rows, fit_rows):
         e = simple_edges(fit_rows, self.source, self.target, self.weight).select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), "w")
         e = written(e.groupBy("s", "t").agg(F.max("w").alias("w")))
         kind = e.schema["s"].dataType.simpleString()
-        size = e.count()
-        if size > self.max_edges:
-            raise ValueError(f"{size} edges are more than max_edges ({self.max_edges}): the Louvain method needs the graph in one process")
-
-        def together(t):
-            names = sorted({*t["s"].to_pylist(), *t["t"].to_pylist()})
-            index = {x: i for i, x in enumerate(names)}
-            own = louvain(len(names), [(index[a], index[b], w) for a, b, w in zip(t["s"].to_pylist(), t["t"].to_pylist(), t["w"].to_pylist(), strict=True)])
-            return pa.table({"n": pa.array(names, t.schema.field("s").type), "c": pa.array(own, pa.int64())})
-
-        found = written(e.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda t: together(t.drop_columns(["g"])), f"n {kind}, c long"))
+        if self.max_edges is not None and (size := e.count()) > self.max_edges:
+            raise ValueError(f"{size} edges are more than max_edges ({self.max_edges})")
+        weighted = self.weight is not None
+
+        def together(batches: Iterator[pa.RecordBatch]):
+            parts, type_ = [], None
+            for x in batches:
+                type_ = x.schema.field("s").type
+                parts.append(tuple(x.column(c).to_numpy(zero_copy_only=False) for c in ("s", "t", "w")[: 2 + weighted]))
+            if not parts:
+                return
+            s, t, *w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            names = np.unique(np.concatenate([np.unique(s), np.unique(t)]))
+            s, t = (np.searchsorted(names, x).astype(np.int32) for x in (s, t))
+            own = moved(len(names), s, t, *w)
+            for at in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 100_000], type_), pa.array(own[at : at + 100_000], pa.int64())], names=["n", "c"])
+
+        found = written(e.repartition(1).mapInArrow(together, f"n {kind}, c long"))
         m = F.broadcast(modularity(e, found))
         first = found.groupBy("c").agg(F.min("n").alias("first"))
         return found.join(first, "c").crossJoin(m).select(F.col("n").alias(self.node), F.col("first").cast("string").alias("community"), "modularity")
@@ -250,49 +261,74 @@ def modularity(e, found):
 
 def louvain(n, edges):
     """The community of each of n nodes: local moves while they gain modularity, then the same on the communities."""
-    own = list(range(n))
-    around = [defaultdict(float) for _ in range(n)]
-    loops = [0.0] * n
-    for a, b, w in edges:
-        around[a][b] += w
-        around[b][a] += w
-    total = sum(w for _, _, w in edges)
+    a, b, w = zip(*edges, strict=True) if edges else ((), (), ())
+    return moved(n, np.asarray(a, np.int32), np.asarray(b, np.int32), np.asarray(w, float)).tolist()
+
+
+def moved(n, a, b, w=None):
+    """louvain() of edges in arrays: both ends, and weights unless all are 1."""
+    total = float(len(a) if w is None else w.sum())
+    own, loops = np.arange(n), np.zeros(n)
     if not total:
         return own
+    first, to, w = neighbours(n, np.concatenate([a, b]), np.concatenate([b, a]), None if w is None else np.concatenate([w, w]))
     while True:
-        size = len(around)
-        degree = [sum(around[i].values()) + 2 * loops[i] for i in range(size)]
-        label, weight, gained = list(range(size)), degree[:], False
-        moved = True
-        while moved:
-            moved = False
-            for i in range(size):
-                ties = defaultdict(float)
-                for j, w in around[i].items():
-                    ties[label[j]] += w
-                home = label[i]
-                weight[home] -= degree[i]
-                best, most = home, ties[home] - weight[home] * degree[i] / (2 * total)
-                for c in sorted(ties):
-                    gain = ties[c] - weight[c] * degree[i] / (2 * total)
-                    if gain > most + 1e-12:
-                        best, most = c, gain
-                weight[best] += degree[i]
-                if best != home:
-                    label[i], moved, gained = best, True, True
+        size = len(loops)
+        of = np.repeat(np.arange(size, dtype=np.int32), np.diff(first))
+        degree = (np.bincount(of, w, size) + 2 * loops).tolist()
+        label, gained = local_moves(first.tolist(), to, w, degree, total)
         if not gained:
-            break
-        index = {c: k for k, c in enumerate(dict.fromkeys(label))}
-        own = [index[label[c]] for c in own]
-        merged, inner = [defaultdict(float) for _ in index], [0.0] * len(index)
-        for i in range(size):
-            a = index[label[i]]
-            inner[a] += loops[i]
-            for j, w in around[i].items():
-                b = index[label[j]]
-                if a == b:
-                    inner[a] += w / 2
-                else:
-                    merged[a][b] += w
-        around, loops = merged, inner
-    return own
+            return own
+        _, start, back = np.unique(label, return_index=True, return_inverse=True)
+        index = np.empty(len(start), np.int32)
+        index[np.argsort(start)] = np.arange(len(start))
+        label = index[back]  # communities in the order of their first node
+        own, size = label[own], len(start)
+        inner, of, to = np.bincount(label, loops, size), label[of], label[to]
+        inside = of == to
+        inner += np.bincount(of[inside], None if w is None else w[inside], size) / 2
+        between = of[~inside].astype(np.int64) * size + to[~inside]
+        w = None if w is None else w[~inside]
+        if w is None:
+            keys, w = np.unique(between, return_counts=True)
+            w = w.astype(float)
+        else:
+            keys, back = np.unique(between, return_inverse=True)
+            w = np.bincount(back, w, len(keys))
+        first, to, w = neighbours(size, (keys // size).astype(np.int32), (keys % size).astype(np.int32), w)
+        loops = inner
+
+
+def neighbours(n, of, to, w):
+    """(where each node's neighbours begin, neighbours, weights)."""
+    order = np.argsort(of, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+    return first, to[order], None if w is None else w[order]
+
+
+def local_moves(first, to, w, degree, total):
+    """(the community of each node after moves that gain modularity, until there are none; whether there were any)."""
+    label, weight, gained, more = np.arange(len(degree), dtype=np.int32), degree[:], False, True
+    while more:
+        more = False
+        for i, d in enumerate(degree):
+            at, end = first[i], first[i + 1]
+            around = label[to[at:end]].tolist()
+            home = int(label[i])
+            ties = {home: 0.0}
+            if w is None:
+                for c in around:
+                    ties[c] = ties.get(c, 0.0) + 1.0
+            else:
+                for c, x in zip(around, w[at:end].tolist(), strict=True):
+                    ties[c] = ties.get(c, 0.0) + x
+            weight[home] -= d
+            best, most = home, ties[home] - weight[home] * d / (2 * total)
+            for c in sorted(ties):
+                gain = ties[c] - weight[c] * d / (2 * total)
+                if gain > most + 1e-12:
+                    best, most = c, gain
+            weight[best] += d
+            if best != home:
+                label[i], more, gained = best, True, True
+    return label, gained

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from asofloom import bridges as b
+from asofloom.bridges import graphs
 from asofloom.operators import graph
 
 
@@ -53,3 +55,58 @@ def test_two_hops_lists_no_pairs(spark):
     df = spark.range(20_000).selectExpr("id + 1 as s", "0L as t")
     got = graph.two_hops(graph.neighbour_pairs(df, []), []).groupBy("v").count().collect()
     assert [tuple(r) for r in got] == [(19_999, 20_000)]
+
+
+def plain_louvain(n, edges):
+    own, near, loops = list(range(n)), [defaultdict(float) for _ in range(n)], [0.0] * n
+    for x, y, w in edges:
+        near[x][y] += w
+        near[y][x] += w
+    total = sum(w for _, _, w in edges)
+    while True:
+        degree = [sum(near[i].values()) + 2 * loops[i] for i in range(len(near))]
+        label, weight, gained, moved = list(range(len(near))), degree[:], False, True
+        while moved:
+            moved = False
+            for i in range(len(near)):
+                ties = defaultdict(float)
+                for j, w in near[i].items():
+                    ties[label[j]] += w
+                home = label[i]
+                weight[home] -= degree[i]
+                best, most = home, ties[home] - weight[home] * degree[i] / (2 * total)
+                for c in sorted(ties):
+                    gain = ties[c] - weight[c] * degree[i] / (2 * total)
+                    if gain > most + 1e-12:
+                        best, most = c, gain
+                weight[best] += degree[i]
+                if best != home:
+                    label[i], moved, gained = best, True, True
+        if not gained:
+            return own
+        index = {c: k for k, c in enumerate(dict.fromkeys(label))}
+        own = [index[label[c]] for c in own]
+        merged, inner = [defaultdict(float) for _ in index], [0.0] * len(index)
+        for i in range(len(near)):
+            inner[index[label[i]]] += loops[i]
+            for j, w in near[i].items():
+                x, y = index[label[i]], index[label[j]]
+                if x == y:
+                    inner[x] += w / 2
+                else:
+                    merged[x][y] += w
+        near, loops = merged, inner
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_louvain_in_arrays(weighted):
+    pairs = [(x, y) for x, y in {(min(p), max(p)) for p in random_graph(3, 60, 500, 1500)} if x != y]
+    w = np.random.default_rng(1).integers(1, 9, len(pairs)) / 4 if weighted else np.ones(len(pairs))
+    x, y = np.array(pairs, np.int32).T
+    assert graphs.moved(500, x, y, w if weighted else None).tolist() == plain_louvain(500, list(zip(x.tolist(), y.tolist(), w.tolist(), strict=True)))
+
+
+def test_communities_have_no_bound_of_their_own(spark):
+    assert b.Community("s", "t").max_edges is None
+    got = b.Community("s", "t", weight="w").run(spark.createDataFrame([("a", "b", 2.0), ("b", "c", 2.0), ("c", "a", 2.0), ("c", "d", 0.5), ("d", "e", 2.0)], "s string, t string, w double")).collect()
+    assert {(r["node"], r["community"]) for r in got} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
